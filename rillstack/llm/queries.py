@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+from rillstack.llm.bagminhash import op9_near_duplicates
 from rillstack.llm.bpe_codec import op2_bpe
+from rillstack.llm.decontaminate import op3_decontaminate
+from rillstack.llm.langid import op8_langid
+from rillstack.llm.line_dedup import op10_line_dedup
+from rillstack.llm.quality import op7_quality
+from rillstack.llm.substring_dedup import op4_substring_dedup
 from rillstack.llm.token_counts import op6_token_counts
 from rillstack.llm.token_files import op1_token_files
+from rillstack.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_bpe": op2_bpe,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_quality": op7_quality,
+    "op8_langid": op8_langid,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
