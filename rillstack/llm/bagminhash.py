@@ -4,8 +4,8 @@ A document is the multiset of its five-word shingles. Every unit of a shingle's
 discretised to whole counts) is a Poisson process; its points fall on random slots, and a slot keeps
 its earliest point, so two documents agree in a slot with the probability of their weighted Jaccard
 similarity. Points of all units are drawn together, earliest first, and a unit ends as soon as its
-next point comes after the latest slot's. Slots are banded; pairs within a bucket go through the
-stars of ``star.py`` and are verified by the exact multiset overlap.
+next point comes after the latest slot's. Slots are banded; members of a bucket go through
+the stars of ``star.py`` and are verified by the exact multiset overlap.
 
 Equal texts are one class before that; only class representatives (smallest ``doc_id``) are signed.
 Defined results: null and empty texts have no shingles and link to nothing, but equal texts share a
@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from rillstack.llm import star
 from rillstack.llm.common import arrow_limits, documents, gathered, mix, ngram_prints, put, starts_inside, text_buffer, word_prints, word_spans
-from rillstack.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-#: Pairs whose signatures agree in fewer slots aren't verified: over four deviations below 0.8.
-AGREE = 0.6
+#: Pairs whose signatures agree in a share of slots this much below the similarity sought aren't
+#: verified: about four deviations.
+SLACK = 0.2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,8 +101,9 @@ def signed(texts: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     return texts.select("id", "text").mapInArrow(run, "id long, sig array<int>, bands array<long>")
 
 
-def overlaps(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of (a, b, ta, tb) the pairs whose multisets of shingles are alike."""
+def overlaps(pairs: DataFrame, shingle: int, similarity: float, least: float) -> DataFrame:
+    """Of (a, b, ta, tb) the pairs whose multisets of shingles overlap by `least` or more, and whether
+    they are linked (overlap by `similarity` or more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def bags(texts: pa.Array) -> list[np.ndarray]:
@@ -116,16 +117,18 @@ def overlaps(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
         for big in gathered(batches, "ta", 4 << 20):
             for k in range(0, big.num_rows, 500):
                 batch = big.slice(k, 500)
-                good = []
+                close, linked = [], []
                 for x, y in zip(bags(batch.column("ta")), bags(batch.column("tb")), strict=True):
                     # the level of each unit makes a multiset a set
                     ux, uy = (np.unique(mix(v + _GOLD * (np.arange(len(v)) - np.searchsorted(v, v)).astype(np.uint64))) for v in (x, y))
                     both = len(np.intersect1d(ux, uy, assume_unique=True))
-                    good.append(both >= similarity * (len(ux) + len(uy) - both) and both > 0)
-                keep = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+                    either = len(ux) + len(uy) - both
+                    close.append(both >= least * either and both > 0)
+                    linked.append(both >= similarity * either and both > 0)
+                keep = pa.array(close, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(linked, pa.bool_()).filter(keep)], ["a", "b", "linked"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -139,19 +142,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     signs = put(signed(texts, shingle), "signatures")
     texts = texts.select("id", "text")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def judge(pairs: DataFrame, close: bool) -> DataFrame:
+        # the distance is a metric: two links in a row span twice the distance of one
+        least = max(2 * similarity - 1, 0.0) if close else similarity
         sig = signs.select("id", "sig")
         near = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
         agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        near = put(near.where(agree >= AGREE * BANDS * ROWS).select("a", "b"), "near-pairs")
+        near = put(near.where(agree >= (least - SLACK) * BANDS * ROWS).select("a", "b"), "near-pairs")
         ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         some = put(texts.join(ids, "id", "left_semi"), "near-texts")
         full = near.join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return overlaps(full, shingle, similarity)
+        return overlaps(full, shingle, similarity, least)
 
-    found = star.links(signs.select(F.explode("bands").alias("key"), "id"), verify)
+    found, groups = star.links(signs.select(F.explode("bands").alias("key"), "id"), judge)
     counts = found.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("n_links"))
-    groups = components(found).select(F.col("node").alias("tid"), "root")
+    groups = groups.select(F.col("node").alias("tid"), "root")
     classes = firsts.select("digest", F.col("id").alias("class_id"), F.xxhash64("digest").alias("tid"))
     classes = classes.join(counts, "tid", "left").join(groups, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     classes = put(classes.select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "root"), "classes")

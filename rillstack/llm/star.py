@@ -1,8 +1,14 @@
 """Links within buckets without all pairs of a bucket, in DataFrame functions only.
 
-Each bucket has a hub, drawn by hash; every other member is verified against the hub. Members that
-are not like it try again among themselves with another hub, until no bucket has two left. Links
-of a member that already joined a hub's group come from its other buckets, each with a hub of its own.
+Each bucket has a hub, drawn by hash; every other member is judged against the hub. Members that
+are not like it try again among themselves with another hub, until no bucket has two left.
+
+Both measures used here are metrics, so a member too far from a hub to be linked with anything that
+the hub is linked with ("not close") needs no further look at that hub's group. A member that is
+close but not linked may have a link into the group. After the rounds, those of them that are in
+another connected group than the hub are judged against each member of the hub's group. So every
+two linked texts that share a bucket are in one connected group; links within a group that change
+no group are left out.
 """
 
 from __future__ import annotations
@@ -13,25 +19,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstack.llm.common import drop, put
+from rillstack.llm.components import components
+
+
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
 
+def links(entries: DataFrame, judge: Callable[[DataFrame, bool], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """entries (key, id: long) to links (a, b) and groups (node, root).
 
-def links(entries: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """entries (key, id: long) to verified (a, b); verify takes distinct (a, b) and keeps good ones."""
-    spark = entries.sparkSession
-    found = None
+    judge takes distinct (a, b) and returns (a, b, linked) of the linked pairs and, if its second
+    argument says so, of the close ones too.
+    """
+    found, close = None, None
     left = put(entries.distinct(), "bucket-entries")
     turn = 0
     while True:
         draw = F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), F.col("id").alias("id"))
         hubs = left.groupBy("key").agg(F.min(draw).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", F.col("hub.id").alias("hub"))
         tried = put(left.join(hubs, "key").where("id <> hub"), "bucket-tries")
-        pairs = tried.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        good = put(verify(pairs), "bucket-links")
-        found = good if found is None else found.union(good)
-        both = [F.least("id", "hub") == good.a, F.greatest("id", "hub") == good.b]
-        rest = put(tried.join(good, both, "left_anti").select("key", "id"), "bucket-entries")
         drop(left)
+        if found is not None and tried.isEmpty():
+            break
+        judged = put(judge(tried.select(*_ordered("id", "hub")).distinct(), True), "bucket-links")
+        both = [F.least("id", "hub") == judged.a, F.greatest("id", "hub") == judged.b]
+        marked = put(tried.join(judged, both, "left").select("key", "hub", "id", "linked"), "bucket-marks")
         drop(tried)
-        left, turn = rest, turn + 1
-        if not left.limit(1).count():
-            return put(found.distinct(), "links")
+        good, seen = judged.where("linked").select("a", "b"), marked.where("linked is not null")
+        found, close = (good, seen) if found is None else (found.union(good), close.union(seen))
+        left, turn = put(marked.where("linked is null or not linked").select("key", "id"), "bucket-entries"), turn + 1
+    found = put(found.distinct(), "links")
+    groups = components(found)
+    root = groups.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    apart = close.where("not linked").join(root, "hub").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    apart = apart.where(F.coalesce("root", "id") != F.col("hub_root")).select("key", "hub", F.col("id").alias("other"))
+    members = close.where("linked").select("key", "hub", "id")
+    between = put(apart.join(members, ["key", "hub"]).select(*_ordered("id", "other")).distinct(), "bridge-pairs")
+    if between.isEmpty():
+        return found, groups
+    bridges = put(judge(between, False).where("linked").select("a", "b"), "bridges")
+    if bridges.isEmpty():
+        return found, groups
+    found = put(found.union(bridges).distinct(), "links")
+    return found, components(found)
