@@ -1,7 +1,9 @@
 """Links within buckets without all pairs of a bucket, in DataFrame functions only.
 
 Each bucket has a hub, drawn by hash; every other member is judged against the hub. Members that
-are not like it try again among themselves with another hub, until no bucket has two left.
+are not like it try again among themselves with other hubs, until no bucket has two left. Each round
+draws about MORE times as many hubs a bucket as the last, so the rounds grow with the logarithm of
+the unlike texts in a bucket.
 
 Both measures used here are metrics, so a member too far from a hub to be linked with anything that
 the hub is linked with ("not close") needs no further look at that hub's group. A member that is
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 from rillstack.llm.common import drop, put
 from rillstack.llm.components import components
 
+#: Hubs a bucket in a round, against the round before.
+MORE = 4
+
 
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -37,18 +42,23 @@ def links(entries: DataFrame, judge: Callable[[DataFrame, bool], DataFrame]) ->
     turn = 0
     while True:
         draw = F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), F.col("id").alias("id"))
-        hubs = left.groupBy("key").agg(F.min(draw).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", F.col("hub.id").alias("hub"))
-        tried = put(left.join(hubs, "key").where("id <> hub"), "bucket-tries")
+        sizes = left.groupBy("key").agg(F.min(draw).alias("first"), F.count("*").alias("n")).where("n > 1")
+        chance = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("n")) < MORE**turn - 1
+        members = put(left.join(sizes, "key").select("key", "id", ((F.col("id") == F.col("first.id")) | chance).alias("is_hub")), "bucket-members")
         drop(left)
-        if found is not None and tried.isEmpty():
+        if found is not None and members.isEmpty():
             break
+        hubs = members.where("is_hub").select("key", F.col("id").alias("hub"))
+        tried = put(members.join(hubs, "key").where("id <> hub"), "bucket-tries")
         judged = put(judge(tried.select(*_ordered("id", "hub")).distinct(), True), "bucket-links")
         both = [F.least("id", "hub") == judged.a, F.greatest("id", "hub") == judged.b]
-        marked = put(tried.join(judged, both, "left").select("key", "hub", "id", "linked"), "bucket-marks")
+        marked = put(tried.join(judged, both, "left").select("key", "hub", "id", "is_hub", "linked"), "bucket-marks")
+        drop(members)
         drop(tried)
-        good, seen = judged.where("linked").select("a", "b"), marked.where("linked is not null")
+        good, seen = judged.where("linked").select("a", "b"), marked.where("linked is not null").select("key", "hub", "id", "linked")
         found, close = (good, seen) if found is None else (found.union(good), close.union(seen))
-        left, turn = put(marked.where("linked is null or not linked").select("key", "id"), "bucket-entries"), turn + 1
+        lone = marked.where("not is_hub").groupBy("key", "id").agg(F.max(F.coalesce("linked", F.lit(False))).alias("linked"))
+        left, turn = put(lone.where("not linked").select("key", "id"), "bucket-entries"), turn + 1
     found = put(found.distinct(), "links")
     groups = components(found)
     root = groups.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
