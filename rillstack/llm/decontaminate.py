@@ -1,7 +1,8 @@
 """Operator 3: benchmark decontamination by templates, in DataFrame functions only.
 
 Numbers, units and names become typed placeholders; other words are lowered and lose their outer
-punctuation. Windows of eight template words of every benchmark item meet those of every document
+punctuation. A capitalised word at the start of a sentence may be a name or not: in a second template
+all of these are names, and a window meets in either. Windows of eight template words of every benchmark item meet those of every document
 in a hash join (benchmark windows are broadcast below a checked size). A matched window counts if
 its slots are consistent: no value of the item's slots stands for two values in the document. A
 document is contaminated by an item if it matches consistently in so many different windows of the
@@ -14,7 +15,7 @@ empty benchmark gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillstack.llm.common import documents, small
@@ -35,7 +36,8 @@ EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
 def _template(words: Column) -> Column:
-    """For each word a struct (t: template word, v: slot value or null)."""
+    """For each word a struct (t: template word, v: slot value or null, and t2, v2: the same with
+    capitalised words at the start of a sentence as names)."""
     bare = F.transform(words, lambda w: F.regexp_replace(w, EDGE, ""))
     paired = F.zip_with(words, bare, lambda w, b: F.struct(w.alias("w"), b.alias("b")))
 
@@ -43,29 +45,43 @@ def _template(words: Column) -> Column:
         b, low = x["b"], F.lower(x["b"])
         number = b.rlike(r"^\p{N}[\p{N}.,]*$")
         starts = before.isNull() | before.rlike(r"[.!?:\"”»]$")
-        name = b.rlike(r"^\p{Lu}\p{Ll}+$") & ~starts
-        kind = F.when(number, F.lit("<num>")).when(low.isin(*UNITS), F.lit("<unit>")).when(name, F.lit("<name>"))
-        return F.struct(F.coalesce(kind, low).alias("t"), F.when(kind.isNotNull(), low).alias("v"))
+        own = b.rlike(r"['’]s$")
+        kind = F.when(number, F.lit("<num>")).when(low.isin(*UNITS), F.lit("<unit>"))
+        name = F.when(b.rlike(r"^\p{Lu}\p{Ll}+(['’]s)?$"), F.when(own, F.lit("<name>'s")).otherwise(F.lit("<name>")))
+        second = F.coalesce(kind, name)
+        first = F.coalesce(kind, F.when(~starts, name))
+        value = F.when(own, F.regexp_replace(low, "['’]s$", "")).otherwise(low)
+        return F.struct(
+            F.coalesce(first, low).alias("t"), F.when(first.isNotNull(), value).alias("v"),
+            F.coalesce(second, low).alias("t2"), F.when(second.isNotNull(), value).alias("v2"),
+        )
 
     return F.filter(F.transform(paired, lambda x, i: one(x, i, F.get(words, i - 1))), lambda x: x["t"] != "")
 
 
 def templates(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, words_of(F.col("text")).alias("w")).select(key, _template(F.col("w")).alias("x")).select(
-        key, F.transform("x", lambda y: y["t"]).alias("t"), F.transform("x", lambda y: y["v"]).alias("v")
+        key, *(F.col(f"x.{c}").alias(c) for c in ("t", "v", "t2", "v2"))
     )
 
 
 def windows(df: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, h, at, slots) of all windows; df has key, t, v."""
-    t = F.col("t")
+    """(key, h, at, second, slots) of all windows, and once more of those that the second template
+    makes different; df is made by templates()."""
+    t = F.col("x.t")
 
     def code(i: Column) -> Column:
         return F.xxhash64(*(F.get(t, i + k) for k in range(size)))
 
+    one = F.struct(F.lit(False).alias("second"), F.col("t").alias("t"), F.col("v").alias("v"), F.col("v").alias("v1"))
+    two = F.struct(F.lit(True).alias("second"), F.col("t2").alias("t"), F.col("v2").alias("v"), F.col("v").alias("v1"))
+    both = df.select(key, F.explode(F.when(F.col("t") == F.col("t2"), F.array(one)).otherwise(F.array(one, two))).alias("x"))
+    # no filter on the number of words: it would be pushed down and repeat the templates
     starts = F.when(F.size(t) >= size, F.sequence(F.lit(0), F.size(t) - size)).otherwise(F.array().cast("array<int>"))
-    flat = df.select(key, "v", F.posexplode(F.transform(starts, code)).alias("at", "h"))
-    return flat.select(key, "h", "at", F.slice("v", F.col("at") + 1, F.lit(size)).alias("slots"))
+    flat = both.select(key, "x", F.posexplode(F.transform(starts, code)).alias("at", "h"))
+    cut = [F.slice(F.col(c), F.col("at") + 1, F.lit(size)) for c in ("x.v", "x.v1")]
+    flat = flat.select(key, "h", "at", F.col("x.second").alias("second"), cut[0].alias("slots"), F.size(F.array_compact(cut[1])).alias("filled"))
+    return flat.where(~F.col("second") | (F.size(F.array_compact("slots")) > F.col("filled")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hits: int = HITS) -> DataFrame:
@@ -77,16 +93,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hi
     for size in sizes:
         mine = items if size == window else items.where(F.size("t") == size)
         least = F.least(F.lit(hits), F.col("n_item")) if size == window else F.lit(1)
-        parts = windows(mine, "item_id", size)
-        literal = F.size(F.filter("slots", lambda s: s.isNull()))
-        parts = parts.where(literal >= min(LITERALS, size - 1)).dropDuplicates(["item_id", "h"])
-        counts = parts.groupBy("item_id").agg(F.count("*").alias("n_item"))
-        sought = parts.select("item_id", "h", F.col("slots").alias("item_slots"))
+        parts = windows(mine, "item_id", size).where(size - F.col("filled") >= min(LITERALS, size - 1))
+        # a window goes by its first template, whichever meets
+        place = Window.partitionBy("item_id", "at")
+        parts = parts.withColumn("window", F.max(F.when(~F.col("second"), F.col("h"))).over(place)).dropDuplicates(["item_id", "h"])
+        counts = parts.groupBy("item_id").agg(F.count_distinct("window").alias("n_item"))
+        sought = parts.select("item_id", "h", "window", F.col("slots").alias("item_slots"))
         seen = windows(texts, "doc_id", size).select("doc_id", "h", "slots")
         met = seen.join(small(sought), "h")
         pairs = F.array_distinct(F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"].isNotNull()))
         values = F.array_distinct(F.filter("item_slots", lambda a: a.isNotNull()))
-        met = met.where(F.size(pairs) == F.size(values)).groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("n_windows"))
+        met = met.where(F.size(pairs) == F.size(values)).groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_windows"))
         good = met.join(counts, "item_id").where(F.col("n_windows") >= least).select("doc_id", "item_id", "n_windows")
         out = good if out is None else out.union(good)
     return out
