@@ -3,10 +3,11 @@
 Numbers, units and names become typed placeholders; other words are lowered and lose their outer
 punctuation. A capitalised word at the start of a sentence may be a name or not: in a second template
 all of these are names, and a window meets in either. Windows of eight template words of every benchmark item meet those of every document
-in a hash join (benchmark windows are broadcast below a checked size). A matched window counts if
-its slots are consistent: no value of the item's slots stands for two values in the document. A
-document is contaminated by an item if it matches consistently in so many different windows of the
-item. Items shorter than a window are one window as a whole.
+in a hash join (benchmark windows are broadcast below a checked size). The slots of a copy of the
+item in a document, or of all copies, must be consistent over all matched windows: no value of the
+item's slots stands for two values in the document. A document is contaminated by an item if it
+matches consistently, or word for word, in so many different windows of the item.
+Items shorter than a window are one window as a whole.
 
 Defined results: a null or empty text matches nothing; items of fewer than four words are not
 looked for; repeated windows of an item count once; rows of one ``doc_id`` are one document; an
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillstack.llm.common import documents, small
+from rillstack.llm.common import documents, put, small
 from rillstack.llm.quality import words_of
 
 WINDOW = 8
@@ -84,10 +85,20 @@ def windows(df: DataFrame, key: str, size: int) -> DataFrame:
     return flat.where(~F.col("second") | (F.size(F.array_compact("slots")) > F.col("filled")))
 
 
+def _consistent(met: DataFrame, *part: str) -> DataFrame:
+    """(doc_id, item_id, n_windows) of the groups in which no slot value of the item stands for two
+    values of the document."""
+    pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"].isNotNull())
+    sums = met.groupBy("doc_id", "item_id", *part).agg(F.count_distinct("window").alias("n_windows"), F.flatten(F.collect_set(pairs)).alias("pairs"))
+    fits = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
+    return sums.where(fits).select("doc_id", "item_id", "n_windows")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hits: int = HITS) -> DataFrame:
     """(doc_id, item_id, n_windows): consistent window matches of each document with each item."""
     items = templates(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id").where(F.size("t") >= MIN_WORDS)
-    texts = templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    doc = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
+    texts = templates(docs.select(doc.alias("doc"), "text"), "doc")
     sizes = [window] + [k for k in range(MIN_WORDS, window) if items.where(F.size("t") == k).limit(1).count()]
     out = None
     for size in sizes:
@@ -96,15 +107,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hi
         parts = windows(mine, "item_id", size).where(size - F.col("filled") >= min(LITERALS, size - 1))
         # a window goes by its first template, whichever meets
         place = Window.partitionBy("item_id", "at")
-        parts = parts.withColumn("window", F.max(F.when(~F.col("second"), F.col("h"))).over(place)).dropDuplicates(["item_id", "h"])
+        parts = parts.withColumn("window", F.max(F.when(~F.col("second"), F.col("h"))).over(place))
         counts = parts.groupBy("item_id").agg(F.count_distinct("window").alias("n_item"))
-        sought = parts.select("item_id", "h", "window", F.col("slots").alias("item_slots"))
-        seen = windows(texts, "doc_id", size).select("doc_id", "h", "slots")
-        met = seen.join(small(sought), "h")
-        pairs = F.array_distinct(F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"].isNotNull()))
-        values = F.array_distinct(F.filter("item_slots", lambda a: a.isNotNull()))
-        met = met.where(F.size(pairs) == F.size(values)).groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_windows"))
-        good = met.join(counts, "item_id").where(F.col("n_windows") >= least).select("doc_id", "item_id", "n_windows")
+        sought = parts.select("item_id", "h", "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+        met = put(windows(texts, "doc", size).select("doc", "h", "at", "slots").join(small(sought), "h"), "met-windows")
+        met = met.withColumn("doc_id", F.col("doc.doc_id")).withColumn("off", F.col("at") - F.col("item_at"))
+        same = met.where(F.col("item_slots").eqNullSafe(F.col("slots"))).groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_windows"))
+        # where a window meets the item at several places, the one that most windows agree on
+        one = ["doc", "item_id"]
+        met = met.withColumn("votes", F.count("*").over(Window.partitionBy(*one, "off")))
+        best = Window.partitionBy(*one, "at").orderBy(F.desc("votes"), "off", F.desc(F.size(F.array_compact("slots"))))
+        met = met.withColumn("best", F.row_number().over(best)).where("best = 1")
+        # a part is one copy of the item: its windows are shifted by less than a window
+        along = Window.partitionBy(*one).orderBy("off", "at")
+        met = met.withColumn("jump", (F.col("off") - F.lag("off").over(along) >= size).cast("int"))
+        met = put(met.withColumn("part", F.sum(F.coalesce("jump", F.lit(0))).over(along)), "aligned-windows")
+        good = same.union(_consistent(met, "doc", "part")).union(_consistent(met))
+        good = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows")).join(counts, "item_id")
+        good = good.where(F.col("n_windows") >= least).select("doc_id", "item_id", "n_windows")
         out = good if out is None else out.union(good)
     return out
 

@@ -30,3 +30,11 @@ def found(spark):
 def test_names_that_begin_sentences(found):
     texts = [other(q) for q in QUESTIONS]
     assert found([*texts, "Before it. " + texts[0] + " After it."], QUESTIONS) == {(0, 0), (1, 1), (2, 2), (3, 0)}
+
+
+def test_slots_over_the_whole_match(found):
+    item = "A train leaves the station with Maria and 40 boxes, then Maria gives away 12 boxes; how many boxes does Maria still have left"
+    broken = item.replace("and 40", "and 95").replace("then Maria", "then Omar").replace("does Maria", "does Peter")
+    twice = item.replace("Maria", "Omar") + ". " + item.replace("Maria", "Lena")
+    longer = item.replace("Maria", "Omar").replace("gives", "quickly gives")
+    assert found([broken, twice, longer], [item]) == {(1, 0), (2, 0)}
