@@ -26,7 +26,7 @@ WINDOW = 8
 #: Different windows of an item that a document holds (or all, where the item has fewer).
 HITS = 4
 MIN_WORDS = 4
-#: Words of a window that aren't placeholders.
+#: Words of a window that aren't placeholders; with fewer, the placeholders' values must be equal.
 LITERALS = 4
 #: Units of measure that become a placeholder (fixed list).
 UNITS = (
@@ -82,6 +82,9 @@ def windows(df: DataFrame, key: str, size: int) -> DataFrame:
     flat = both.select(key, "x", F.posexplode(F.transform(starts, code)).alias("at", "h"))
     cut = [F.slice(F.col(c), F.col("at") + 1, F.lit(size)) for c in ("x.v", "x.v1")]
     flat = flat.select(key, "h", "at", F.col("x.second").alias("second"), cut[0].alias("slots"), F.size(F.array_compact(cut[1])).alias("filled"))
+    # few literals: the words must be equal
+    dense = F.col("filled") > size - min(LITERALS, size - 1)
+    flat = flat.withColumn("h", F.when(dense & ~F.col("second"), F.xxhash64("h", F.concat_ws(" ", "slots"))).otherwise(F.col("h"))).where(~(dense & F.col("second")))
     return flat.where(~F.col("second") | (F.size(F.array_compact("slots")) > F.col("filled")))
 
 
@@ -104,7 +107,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hi
     for size in sizes:
         mine = items if size == window else items.where(F.size("t") == size)
         least = F.least(F.lit(hits), F.col("n_item")) if size == window else F.lit(1)
-        parts = windows(mine, "item_id", size).where(size - F.col("filled") >= min(LITERALS, size - 1))
+        parts = windows(mine, "item_id", size)
         # a window goes by its first template, whichever meets
         place = Window.partitionBy("item_id", "at")
         parts = parts.withColumn("window", F.max(F.when(~F.col("second"), F.col("h"))).over(place))

@@ -38,3 +38,9 @@ def test_slots_over_the_whole_match(found):
     twice = item.replace("Maria", "Omar") + ". " + item.replace("Maria", "Lena")
     longer = item.replace("Maria", "Omar").replace("gives", "quickly gives")
     assert found([broken, twice, longer], [item]) == {(1, 0), (2, 0)}
+
+
+def test_items_of_numbers_and_units(found):
+    items = ["Compute 12 + 7 * 3 - 44 / 2 + 19 - 6 * 8 + 5", "Order 3 kg 5 dollars, 7 kg 9 dollars, 12 kg 14 dollars, 20 kg 25 dollars"]
+    changed = [x.replace("7", "8").replace("12", "13").replace("44", "45").replace("5", "6") for x in items]
+    assert found([*items, *changed], items) == {(0, 0), (1, 1)}
