@@ -24,6 +24,9 @@ SLICE_BYTES = 8 << 20
 #: Rows of ids or keys up to which a side of a join is broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
+#: The place of a null doc_id: after all others.
+LAST = (1 << 63) - 1
+
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -31,12 +34,12 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder is set.
+    Where the session names none, a local one (tests) gets a temporary folder, any other fails.
     """
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = spark.conf.get("rillstack.shared.dir", None)
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("rillstack.shared.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         there = "file://" + tempfile.mkdtemp(prefix="rillstack-")
         spark.conf.set("rillstack.shared.dir", there)
     return there.rstrip("/")
