@@ -1,13 +1,16 @@
 """Operator 5: toxicity by gradient-boosted trees over dense features, calibrated isotonically.
 
 The lexicon is learned: words (lowered, common sign-for-letter swaps undone) that stand in many
-more toxic than clean labelled documents. Features of a document are lexicon hits and densities,
-the densest stretch, hits near the second person, capitals, punctuation and obfuscation rates. The
-trees are fitted on at most `max_rows` labelled rows, chosen by hash; scoring reads each text once
-and shuffles nothing.
+more toxic than clean labelled documents, counted over all labelled rows that aren't held out.
+Features of a document are lexicon hits and densities, the densest stretch, hits near the second
+person, capitals, punctuation and obfuscation rates. The trees are fitted on at most `max_rows`
+labelled rows, whose ids are chosen by hash from the labels alone; scoring reads each text once and
+shuffles nothing.
 
 Defined results: a null text is empty and gets the score of a text without words; every row gives
-one row; with labels of one class only (or none) the score is that share (0 without labels).
+one row; with labels of one class only (or none) the score is that share (0 without labels); a
+document labelled more than once is toxic if any of its labels says so; labels with a null
+``doc_id`` or a null mark are not read.
 """
 
 from __future__ import annotations
@@ -17,17 +20,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstack.llm.common import arrow_limits, documents, gathered, text_buffer, word_ids, word_spans
+from rillstack.llm.common import arrow_limits, documents, gathered, put, text_buffer, word_ids, word_spans
 from rillstack.llm.langid import held_out
 
-#: The bound on labelled rows the trees are fitted on, and on lexicon words.
+#: The bound on labelled rows the trees are fitted on.
 MAX_ROWS = 20_000
-MAX_LEXICON = 300
-#: A lexicon word stands in so many toxic documents at least.
-MIN_TOXIC = 3
+#: The bound on lexicon words that the driver holds, far above what the rules below let through.
+MAX_LEXICON = 20_000
+#: A lexicon word stands in so many toxic documents at least, its log odds are this high, and its
+#: log-likelihood ratio is significant at one in 1,000.
+MIN_TOXIC, MIN_ODDS, MIN_G2 = 3, 1.5, 10.8
 #: Second-person words by language; signs that stand for letters.
 SECOND = {"you", "your", "yours", "yourself", "u", "ur", "tu", "te", "toi", "vous", "votre", "du", "dich", "dir", "dein", "ihr", "euch", "tú", "ti", "usted", "ustedes"}
 SWAPS = str.maketrans({"0": "o", "1": "i", "!": "i", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t"})
@@ -161,11 +166,14 @@ def grow(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: f
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The non-decreasing step values nearest to y, by pooling adjacent violators."""
-    order = np.argsort(raw, kind="stable")
+    """The non-decreasing step values nearest to y: rows of equal raw score are one block from the
+    start, then adjacent violators are pooled."""
+    values, which = np.unique(raw, return_inverse=True)
+    sizes = np.bincount(which).astype(float)
+    means = np.bincount(which, y) / sizes
     blocks: list[list[float]] = []
-    for r, v in zip(raw[order], y[order], strict=True):
-        blocks.append([v, 1.0, r, r])
+    for r, v, n in zip(values, means, sizes, strict=True):
+        blocks.append([v, n, r, r])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             v2, n2, _, hi = blocks.pop()
             v1, n1, lo, _ = blocks[-1]
@@ -176,40 +184,56 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Words of labelled rows (text, toxic) and their log odds; one row of counts per word."""
+    """Words of labelled rows (text, toxic) and their log odds; one row of counts per word and slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
-            counts: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                for w in {plain(x) for x in (text or "").split()} - {""}:
-                    counts.setdefault(w, [0, 0])[toxic] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], ["word", "clean", "bad"])
-
-    sums = labelled.mapInArrow(run, "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    n_bad, n = labelled.agg(F.sum("toxic"), F.count("*")).first()
-    if not n or not n_bad or n_bad == n:
+            data, at = text_buffer(batch.column("text"))
+            starts, ends, word_at = word_spans(data, at)
+            ids, distinct = word_ids(data, starts, ends)
+            names: dict[str, int] = {"": 0}
+            as_plain = np.array([names.setdefault(plain(raw.decode("utf-8", "replace")), len(names)) for raw in distinct.to_pylist()] or [0], np.int64)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(word_at))
+            pairs = np.unique(doc * len(names) + as_plain[ids]) if len(ids) else np.zeros(0, np.int64)
+            words, toxic = pairs % len(names), batch.column("toxic").to_numpy()[pairs // len(names)].astype(bool)
+            clean, bad = np.bincount(words[~toxic], minlength=len(names)), np.bincount(words[toxic], minlength=len(names))
+            seen = np.flatnonzero(clean + bad)
+            seen = seen[seen > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()).take(pa.array(seen)), pa.array(clean[seen], pa.int64()), pa.array(bad[seen], pa.int64())], ["word", "clean", "bad"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([int((~batch.column("toxic").to_numpy().astype(bool)).sum())], pa.int64()), pa.array([int(batch.column("toxic").to_numpy().sum())], pa.int64())], ["word", "clean", "bad"])
+
+    sums = put(labelled.mapInArrow(run, "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).where("bad >= 3 or word is null"), "lexicon-counts")
+    total = sums.where("word is null").first()  # the null word has the numbers of rows
+    n_bad, n_clean = (total.bad, total.clean) if total else (0, 0)
+    if not n_bad or not n_clean:
         return {}
-    odds = F.log(((F.col("bad") + 0.5) / (n_bad + 1.0)) / ((F.col("clean") + 0.5) / (n - n_bad + 1.0)))
-    # of the words far likelier in toxic texts, those that stand in most of them
-    top = sums.where(F.col("bad") >= MIN_TOXIC).withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "word").limit(MAX_LEXICON)
+    bad, clean, n = F.col("bad").cast("double"), F.col("clean").cast("double"), float(n_bad + n_clean)
+
+    def part(seen: Column, share: float) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / ((bad + clean) * share / n))).otherwise(0.0)
+
+    odds = F.log(((bad + 0.5) / (n_bad + 1.0)) / ((clean + 0.5) / (n_clean + 1.0)))
+    top = sums.where(F.col("word").isNotNull() & (bad >= MIN_TOXIC)).select("word", odds.alias("odds"), (2 * (part(bad, n_bad) + part(clean, n_clean))).alias("g2"))
+    top = top.where((F.col("odds") > MIN_ODDS) & (F.col("g2") >= MIN_G2)).orderBy(F.desc("g2"), "word").limit(MAX_LEXICON)
     return {r.word: r.odds for r in top.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[dict[str, float], Trees]:
     """The lexicon and the trees, from labelled rows of docs that are not held out."""
     arrow_limits(docs.sparkSession)
-    marks = labels.where("toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(marks, "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("text", "toxic")
-    lexicon = learn_lexicon(rows)
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    marks = marks.where(~held_out(F.col("doc_id")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lexicon = learn_lexicon(texts.where(~held_out(F.col("doc_id"))).join(marks, "doc_id").select("text", "toxic"))
+    chosen = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))  # max_rows rows of 12 bytes
+    rows = texts.join(chosen, "doc_id").select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
             x = features(batch.column("text"), lexicon)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j]) for j in range(x.shape[1])), batch.column("toxic")], [*NAMES, "toxic"])
 
-    found = rows.mapInArrow(run, ", ".join(f"{x} double" for x in NAMES) + ", toxic int").toPandas()  # at most max_rows rows of figures
+    found = rows.mapInArrow(run, ", ".join(f"{x} double" for x in NAMES) + ", toxic int").toPandas()  # the figures of the chosen documents
     found = found.sort_values(list(found.columns)).to_numpy(dtype=float)
     x, y = found[:, :-1], found[:, -1]
     if len(y) == 0 or y.min() == y.max():
