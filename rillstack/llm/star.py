@@ -1,16 +1,16 @@
 """Links within buckets without all pairs of a bucket, in DataFrame functions only.
 
-Each bucket has a hub, drawn by hash; every other member is judged against the hub. Members that
-are not like it try again among themselves with other hubs, until no bucket has two left. Each round
-draws about MORE times as many hubs a bucket as the last, so the rounds grow with the logarithm of
-the unlike texts in a bucket.
+Each bucket has a hub: the member whose buckets hold most entries together, so the text that a group
+of copies was made from comes before the copies. Every other member is judged against the hub.
+Members that are not like it try again among themselves with other hubs, until no bucket has two
+left. Each round draws about MORE times as many hubs a bucket as the last, so the rounds grow with
+the logarithm of the unlike texts in a bucket.
 
-Both measures used here are metrics, so a member too far from a hub to be linked with anything that
-the hub is linked with ("not close") needs no further look at that hub's group. A member that is
-close but not linked may have a link into the group. After the rounds, those of them that are in
-another connected group than the hub are judged against each member of the hub's group. So every
-two linked texts that share a bucket are in one connected group; links within a group that change
-no group are left out.
+A member that is close to a hub but not linked may have a link to something that the hub is linked
+with; one that is not even close can't, as the distances obey the triangle inequality. After the
+rounds, close members that ended in another connected group than the hub are judged against those of
+the hub's members that the same inequality leaves over. So every two linked texts that share a
+bucket are in one connected group; links within a group that change no group are left out.
 """
 
 from __future__ import annotations
@@ -31,45 +31,62 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def links(entries: DataFrame, judge: Callable[[DataFrame, bool], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """entries (key, id: long) to links (a, b) and groups (node, root).
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """entries (key, id: long), each at most once, to (key, id, w) of those in buckets of two or more; w ranks ids by the sizes of all their
+    buckets, ties by hash."""
+    sizes = put(entries.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n"), "bucket-sizes")
+    shared = put(entries.join(sizes, "key"), "bucket-entries")
+    drop(sizes)
+    tie = F.pmod(F.xxhash64("id"), F.lit(1 << 16))
+    weights = put(shared.groupBy("id").agg(F.sum("n").alias("n")).select("id", (F.col("n") * (1 << 16) + tie).alias("w")), "bucket-weights")
+    out = put(shared.select("key", "id").join(weights, "id"), "bucket-entries")
+    drop(shared)
+    drop(weights)
+    return out
 
-    judge takes distinct (a, b) and returns (a, b, linked) of the linked pairs and, if its second
-    argument says so, of the close ones too.
+
+def links(shared: DataFrame, judge: Callable[[DataFrame, bool], DataFrame], threshold: float, gap: float | None = None) -> DataFrame:
+    """A table of shared_entries(), which is used up, to groups (node, root) of the linked ids.
+
+    judge takes distinct (a, b) and returns (a, b, s) of the linked pairs and, if its second argument
+    says so, of the close ones too; a pair is linked if s >= threshold. Where two ids are linked, their
+    s with a third differ by `gap` at most (None: no such bound is known).
     """
     found, close = None, None
-    left = put(entries.distinct(), "bucket-entries")
+    left = shared
     turn = 0
     while True:
-        draw = F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), F.col("id").alias("id"))
-        sizes = left.groupBy("key").agg(F.min(draw).alias("first"), F.count("*").alias("n")).where("n > 1")
-        chance = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("n")) < MORE**turn - 1
-        members = put(left.join(sizes, "key").select("key", "id", ((F.col("id") == F.col("first.id")) | chance).alias("is_hub")), "bucket-members")
-        drop(left)
-        if found is not None and members.isEmpty():
-            break
-        hubs = members.where("is_hub").select("key", F.col("id").alias("hub"))
+        sizes = left.groupBy("key").agg(F.max_by("id", "w").alias("first"), F.count("*").alias("n")).where("n > 1")
+        if turn:
+            chance = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("n")) < MORE**turn - 1
+            members = put(left.join(sizes, "key").select("key", "id", "w", ((F.col("id") == F.col("first")) | chance).alias("is_hub")), "bucket-members")
+            if members.isEmpty():
+                break
+            hubs = members.where("is_hub").select("key", F.col("id").alias("hub"))
+        else:
+            members = left.withColumn("is_hub", F.lit(False))
+            hubs = put(sizes.select("key", F.col("first").alias("hub")), "bucket-hubs")
         tried = put(members.join(hubs, "key").where("id <> hub"), "bucket-tries")
         judged = put(judge(tried.select(*_ordered("id", "hub")).distinct(), True), "bucket-links")
         both = [F.least("id", "hub") == judged.a, F.greatest("id", "hub") == judged.b]
-        marked = put(tried.join(judged, both, "left").select("key", "hub", "id", "is_hub", "linked"), "bucket-marks")
-        drop(members)
+        marked = put(tried.join(judged, both, "left").select("key", "hub", "id", "w", "is_hub", "s"), "bucket-marks")
         drop(tried)
-        good, seen = judged.where("linked").select("a", "b"), marked.where("linked is not null").select("key", "hub", "id", "linked")
+        drop(members if turn else left)
+        good, seen = judged.where(F.col("s") >= threshold).select("a", "b"), marked.where("s is not null").select("key", "hub", "id", "s")
         found, close = (good, seen) if found is None else (found.union(good), close.union(seen))
-        lone = marked.where("not is_hub").groupBy("key", "id").agg(F.max(F.coalesce("linked", F.lit(False))).alias("linked"))
-        left, turn = put(lone.where("not linked").select("key", "id"), "bucket-entries"), turn + 1
+        lone = marked.where("not is_hub").groupBy("key", "id").agg(F.max("w").alias("w"), F.max(F.coalesce("s", F.lit(-1.0))).alias("s"))
+        left, turn = put(lone.where(F.col("s") < threshold).select("key", "id", "w"), "bucket-entries"), turn + 1
     found = put(found.distinct(), "links")
     groups = components(found)
     root = groups.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    apart = close.where("not linked").join(root, "hub").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    apart = apart.where(F.coalesce("root", "id") != F.col("hub_root")).select("key", "hub", F.col("id").alias("other"))
-    members = close.where("linked").select("key", "hub", "id")
-    between = put(apart.join(members, ["key", "hub"]).select(*_ordered("id", "other")).distinct(), "bridge-pairs")
+    apart = close.where(F.col("s") < threshold).join(root, "hub").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    apart = apart.where(F.coalesce("root", "id") != F.col("hub_root")).select("key", "hub", F.col("id").alias("other"), F.col("s").alias("so"))
+    members = close.where(F.col("s") >= threshold)
+    near = apart.join(members, ["key", "hub"])
+    if gap is not None:
+        near = near.where(F.col("s") - F.col("so") <= gap + 1e-9)
+    between = put(near.select(*_ordered("id", "other")).distinct(), "bridge-pairs")
     if between.isEmpty():
-        return found, groups
-    bridges = put(judge(between, False).where("linked").select("a", "b"), "bridges")
-    if bridges.isEmpty():
-        return found, groups
-    found = put(found.union(bridges).distinct(), "links")
-    return found, components(found)
+        return groups
+    bridges = put(judge(between, False).where(F.col("s") >= threshold).select("a", "b"), "bridges")
+    return groups if bridges.isEmpty() else components(found.union(bridges).distinct())
