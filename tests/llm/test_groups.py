@@ -3,7 +3,10 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 from rillstack.llm import bagminhash, line_dedup
+from rillstack.llm.common import LAST
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 D = "/root/testdata/sf0.001"
@@ -34,7 +37,7 @@ def test_near_duplicate_groups(spark):
     odd = [None, "", "one two", "one two", "a b c d e", "a b c d e", "z " * 400, "z " * 401, *chain(14, 2), *chain(10, 4)]
     rows = [(900000 + i, t) for i, t in enumerate(odd)] + [(None, "one two")]
     docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
-    given = sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "") for r in docs.collect())
+    given = sorted(((LAST if r.doc_id is None else r.doc_id), r.text or "") for r in docs.collect())
     bags = []
     for _, t in given:
         w = WORD.findall(t)
@@ -47,10 +50,33 @@ def test_near_duplicate_groups(spark):
         return both > 0 and both >= 0.8 * (bags[i] | bags[j]).total()
 
     expected = sorted((given[i][0], given[r][0]) for i, r in enumerate(roots([t for _, t in given], alike)))
-    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.group_id) for r in bagminhash.near_duplicates(docs).collect())
+    got = sorted(((LAST if r.doc_id is None else r.doc_id), LAST if r.group_id is None else r.group_id) for r in bagminhash.near_duplicates(docs).collect())
     assert got == expected
 
 
+def test_signatures_estimate_weighted_jaccard():
+    rng = np.random.default_rng(5)
+    for most in (1, 6, 300):
+        a = {int(k): int(rng.integers(1, most + 1)) for k in rng.integers(1, 1 << 62, 50)}
+        b = {k: v if rng.random() < 0.7 else int(rng.integers(1, most + 1)) for k, v in a.items() if rng.random() < 0.95}
+        true = sum(min(v, b.get(k, 0)) for k, v in a.items()) / sum(max(v, b.get(k, 0)) for k, v in a.items())
+        shares = []
+        for turn in range(40):
+            bags = [np.repeat(np.array([(k * 2654435761 + turn * 977) % (1 << 63) for k in x], np.uint64), list(x.values())) for x in (a, b)]
+            sig = bagminhash.signatures(np.repeat([0, 1], [len(x) for x in bags]), np.concatenate(bags), 2, 80)
+            shares.append((sig[0] == sig[1]).mean())
+        assert abs(np.mean(shares) - true) < 0.04, (most, true, np.mean(shares))
+
+
+def test_one_of_each(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, text, 1), (3, text + " more", 2), (3, text + " more", 3), (None, text, 4), (None, "alone here", 5), (None, None, 6), (9, "", 7), (-1, "other words", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root int")
+    got = sorted((-9 if r.doc_id is None else r.doc_id, r.text) for r in bagminhash.one_of_each(docs).collect())
+    assert got == [(-9, "alone here"), (-1, "other words"), (3, text + " more"), (9, "")]
+    assert bagminhash.one_of_each(docs).columns == docs.columns
+
+
 def test_lines(spark):
     line = "the committee will meet again on the second tuesday of next month in the large hall of the old library building"
     rows = [
@@ -66,6 +92,6 @@ def test_lines(spark):
     assert kept[2] == "short\nan entirely different sentence about gardens, rain and the price of bread"
     assert kept[0] == "" and kept[5] == "" and kept[6] == ""
     assert [n for i, _, n in got if i == 6] == [2, 2]
-    assert kept[3] in ("", rows[2][1])  # a candidate only if the SimHashes are near
+    assert kept[3] == ""  # alike but for a letter
     assert line_dedup.dedup_lines(docs.where("doc_id < 0")).count() == 0
     assert bagminhash.near_duplicates(docs.where("doc_id < 0")).count() == 0
