@@ -10,7 +10,8 @@ matches consistently, or word for word, in so many different windows of the item
 Items shorter than a window are one window as a whole.
 
 Defined results: a null or empty text matches nothing; items of fewer than four words are not
-looked for; repeated windows of an item count once; rows of one ``doc_id`` are one document; an
+looked for; repeated windows of an item count once; rows of one ``doc_id`` are one document, rows with
+a null one are one for each text; an
 empty benchmark gives no rows.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillstack.llm.common import documents, put, small
+from rillstack.llm.common import LAST, documents, put, small
 from rillstack.llm.quality import words_of
 
 WINDOW = 8
@@ -33,73 +34,110 @@ UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "feet", "foot", "miles", "mile", "meters", "metres", "g", "kg", "mg", "pounds",
     "ml", "l", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "years", "dollars", "euros", "cents", "percent",
 )
+#: Signs at the end of a word after which a sentence starts.
+ENDS = (".", "!", "?", ":", '"', "”", "»")
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
-def _template(words: Column) -> Column:
-    """For each word a struct (t: template word, v: slot value or null, and t2, v2: the same with
-    capitalised words at the start of a sentence as names)."""
-    bare = F.transform(words, lambda w: F.regexp_replace(w, EDGE, ""))
-    paired = F.zip_with(words, bare, lambda w, b: F.struct(w.alias("w"), b.alias("b")))
-
-    def one(x: Column, i: Column, before: Column) -> Column:
-        b, low = x["b"], F.lower(x["b"])
-        number = b.rlike(r"^\p{N}[\p{N}.,]*$")
-        starts = before.isNull() | before.rlike(r"[.!?:\"”»]$")
-        own = b.rlike(r"['’]s$")
-        kind = F.when(number, F.lit("<num>")).when(low.isin(*UNITS), F.lit("<unit>"))
-        name = F.when(b.rlike(r"^\p{Lu}\p{Ll}+(['’]s)?$"), F.when(own, F.lit("<name>'s")).otherwise(F.lit("<name>")))
-        second = F.coalesce(kind, name)
-        first = F.coalesce(kind, F.when(~starts, name))
-        value = F.when(own, F.regexp_replace(low, "['’]s$", "")).otherwise(low)
+def _template(df: DataFrame, key: str) -> DataFrame:
+    """From df (key, w: words) for each word a struct (t: template word, v: slot value or null, and t2,
+    v2: the same with capitalised words at the start of a sentence as names), in column x. Each step is
+    a column of its own, so that no expression is evaluated twice a word."""
+    bare = F.transform("w", lambda w: F.when(w.rlike("^[A-Za-z0-9]+$"), w).otherwise(F.regexp_replace(w, EDGE, "")))
+    ends = F.transform("w", lambda w: F.substring(w, -1, 1).isin(*ENDS))
+    df = df.select(key, bare.alias("b"), ends.alias("e"))
+
+    def seen(b: Column, i: Column) -> Column:
+        own = b.endswith("'s") | b.endswith("’s")
+        return F.struct(
+            F.lower(b).alias("low"), b.rlike(r"^\p{N}[\p{N}.,]*$").alias("number"), own.alias("own"),
+            b.rlike(r"^\p{Lu}\p{Ll}+(['’]s)?$").alias("name"), F.coalesce(F.get("e", i - 1), F.lit(True)).alias("starts"),
+        )
+
+    df = df.select(key, F.transform("b", seen).alias("x"))
+
+    def kinds(x: Column) -> Column:
+        kind = F.when(x["number"], F.lit("<num>")).when(x["low"].isin(*UNITS), F.lit("<unit>"))
+        kind = kind.when(x["name"], F.when(x["own"], F.lit("<name>'s")).otherwise(F.lit("<name>")))
+        value = F.when(x["own"], F.regexp_replace(x["low"], "['’]s$", "")).otherwise(x["low"])
+        lone = x["starts"] & x["name"] & ~x["number"] & ~x["low"].isin(*UNITS)
+        return F.struct(x["low"].alias("low"), kind.alias("kind"), value.alias("value"), F.coalesce(lone, F.lit(False)).alias("lone"))
+
+    df = df.select(key, F.transform("x", kinds).alias("x"))
+
+    def both(x: Column) -> Column:
+        second = x["kind"].isNotNull()
+        first = second & ~x["lone"]
         return F.struct(
-            F.coalesce(first, low).alias("t"), F.when(first.isNotNull(), value).alias("v"),
-            F.coalesce(second, low).alias("t2"), F.when(second.isNotNull(), value).alias("v2"),
+            F.when(first, x["kind"]).otherwise(x["low"]).alias("t"), F.when(first, x["value"]).alias("v"),
+            F.coalesce(x["kind"], x["low"]).alias("t2"), F.when(second, x["value"]).alias("v2"),
         )
 
-    return F.filter(F.transform(paired, lambda x, i: one(x, i, F.get(words, i - 1))), lambda x: x["t"] != "")
+    return df.select(key, F.filter(F.transform("x", both), lambda x: x["t"] != "").alias("x"))
 
 
 def templates(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, words_of(F.col("text")).alias("w")).select(key, _template(F.col("w")).alias("x")).select(
-        key, *(F.col(f"x.{c}").alias(c) for c in ("t", "v", "t2", "v2"))
-    )
+    return _template(df.select(key, words_of(F.col("text")).alias("w")), key).select(key, *(F.col(f"x.{c}").alias(c) for c in ("t", "v", "t2", "v2")))
+
+
+def _codes(df: DataFrame, column: str, size: int, out: str) -> DataFrame:
+    """df with the hashes of all runs of `size` words of an array, in column out: made of the hashes of
+    runs of 1, 2, 4, ... words, each a column of its own."""
+    rest = [c for c in df.columns if c not in (column,)]
+    df = df.select(*rest, column, F.transform(column, lambda x: F.xxhash64(x)).alias("_r0"))
+    runs = ["_r0"]
+    while 2 ** len(runs) <= size:
+        k = len(runs)
+        df = _doubled(df, rest, column, runs, runs[-1], 1 << (k - 1), f"_r{k}")
+        runs.append(f"_r{k}")
+    parts, at = [], 0
+    for k in reversed(range(len(runs))):
+        if size >> k & 1:
+            parts.append((f"_r{k}", at))
+            at += 1 << k
+    starts = F.greatest(F.size(column) - size + 1, F.lit(0))
+
+    def code(x: Column, i: Column) -> Column:
+        return F.xxhash64(x, *(F.get(name, i + at) for name, at in parts[1:]))
+
+    whole = F.slice(parts[0][0], F.lit(1), starts)
+    return df.select(*rest, column, (F.transform(whole, code) if len(parts) > 1 else whole).alias(out))
+
+
+def _doubled(df: DataFrame, rest: list[str], column: str, runs: list[str], last: str, step: int, name: str) -> DataFrame:
+    def two(x: Column, i: Column) -> Column:
+        return F.xxhash64(x, F.get(last, i + step))
+
+    return df.select(*rest, column, *runs, F.transform(last, two).alias(name))
 
 
 def windows(df: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, h, at, second, slots) of all windows, and once more of those that the second template
-    makes different; df is made by templates()."""
-    t = F.col("x.t")
-
-    def code(i: Column) -> Column:
-        return F.xxhash64(*(F.get(t, i + k) for k in range(size)))
-
-    one = F.struct(F.lit(False).alias("second"), F.col("t").alias("t"), F.col("v").alias("v"), F.col("v").alias("v1"))
-    two = F.struct(F.lit(True).alias("second"), F.col("t2").alias("t"), F.col("v2").alias("v"), F.col("v").alias("v1"))
-    both = df.select(key, F.explode(F.when(F.col("t") == F.col("t2"), F.array(one)).otherwise(F.array(one, two))).alias("x"))
-    # no filter on the number of words: it would be pushed down and repeat the templates
-    starts = F.when(F.size(t) >= size, F.sequence(F.lit(0), F.size(t) - size)).otherwise(F.array().cast("array<int>"))
-    flat = both.select(key, "x", F.posexplode(F.transform(starts, code)).alias("at", "h"))
-    cut = [F.slice(F.col(c), F.col("at") + 1, F.lit(size)) for c in ("x.v", "x.v1")]
-    flat = flat.select(key, "h", "at", F.col("x.second").alias("second"), cut[0].alias("slots"), F.size(F.array_compact(cut[1])).alias("filled"))
-    # few literals: the words must be equal
-    dense = F.col("filled") > size - min(LITERALS, size - 1)
-    flat = flat.withColumn("h", F.when(dense & ~F.col("second"), F.xxhash64("h", F.concat_ws(" ", "slots"))).otherwise(F.col("h"))).where(~(dense & F.col("second")))
-    return flat.where(~F.col("second") | (F.size(F.array_compact("slots")) > F.col("filled")))
+    """(key, h, at, second, slots, dense) of all windows, and once more of those that the second template
+    makes different; df is made by templates(). A window is dense if it has few literals. What isn't
+    needed for a join on h is evaluated behind it."""
+    df = _codes(_codes(df, "t", size, "c1"), "t2", size, "c2")
+    # outer: else a filter on the array would be inferred, pushed down, and repeat all that makes it
+    flat = df.select(key, "v", "v2", "c2", F.posexplode_outer("c1").alias("at", "h1")).withColumn("h2", F.get("c2", F.col("at")))
+    one, two = (F.struct(F.lit(x).alias("second"), F.col(h).alias("h")) for x, h in ((False, "h1"), (True, "h2")))
+    flat = flat.select(key, "v", "v2", "at", F.explode(F.when(F.col("h1") == F.col("h2"), F.array(one)).otherwise(F.array(one, two))).alias("x"))
+    cut = [F.slice(F.col(c), F.col("at") + 1, F.lit(size)) for c in ("v", "v2")]
+    dense = F.size(F.array_compact(cut[0])) > size - min(LITERALS, size - 1)
+    return flat.select(key, F.col("x.h").alias("h"), "at", F.col("x.second").alias("second"), F.when(F.col("x.second"), cut[1]).otherwise(cut[0]).alias("slots"), dense.alias("dense"))
 
 
 def _consistent(met: DataFrame, *part: str) -> DataFrame:
-    """(doc_id, item_id, n_windows) of the groups in which no slot value of the item stands for two
+    """(doc_id, row, item_id, n_windows) of the groups in which no slot value of the item stands for two
     values of the document."""
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"].isNotNull())
-    sums = met.groupBy("doc_id", "item_id", *part).agg(F.count_distinct("window").alias("n_windows"), F.flatten(F.collect_set(pairs)).alias("pairs"))
+    sums = met.groupBy("doc_id", "row", "item_id", *part).agg(F.count_distinct("window").alias("n_windows"), F.flatten(F.collect_set(pairs)).alias("pairs"))
     fits = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    return sums.where(fits).select("doc_id", "item_id", "n_windows")
+    return sums.where(fits).select("doc_id", "row", "item_id", "n_windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hits: int = HITS) -> DataFrame:
-    """(doc_id, item_id, n_windows): consistent window matches of each document with each item."""
-    items = templates(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id").where(F.size("t") >= MIN_WORDS)
+    """(doc_id, item_id, n_windows, row): consistent window matches of each document with each item; row
+    is a hash of the text where the doc_id is null, and null elsewhere."""
+    items = put(templates(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id"), "items").where(F.size("t") >= MIN_WORDS)
     doc = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
     texts = templates(docs.select(doc.alias("doc"), "text"), "doc")
     sizes = [window] + [k for k in range(MIN_WORDS, window) if items.where(F.size("t") == k).limit(1).count()]
@@ -108,14 +146,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hi
         mine = items if size == window else items.where(F.size("t") == size)
         least = F.least(F.lit(hits), F.col("n_item")) if size == window else F.lit(1)
         parts = windows(mine, "item_id", size)
-        # a window goes by its first template, whichever meets
+        # a window goes by its first template, whichever meets; with few literals also by their values
         place = Window.partitionBy("item_id", "at")
-        parts = parts.withColumn("window", F.max(F.when(~F.col("second"), F.col("h"))).over(place))
+        own = F.when(F.col("dense"), F.xxhash64("h", F.concat_ws(" ", "slots"))).otherwise(F.col("h"))
+        parts = parts.withColumn("window", F.max(F.when(~F.col("second"), own)).over(place)).where(~(F.col("dense") & F.col("second")))
         counts = parts.groupBy("item_id").agg(F.count_distinct("window").alias("n_item"))
-        sought = parts.select("item_id", "h", "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-        met = put(windows(texts, "doc", size).select("doc", "h", "at", "slots").join(small(sought), "h"), "met-windows")
-        met = met.withColumn("doc_id", F.col("doc.doc_id")).withColumn("off", F.col("at") - F.col("item_at"))
-        same = met.where(F.col("item_slots").eqNullSafe(F.col("slots"))).groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_windows"))
+        sought = parts.select("item_id", "h", "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("dense").alias("item_dense"))
+        fits = F.when(F.col("item_dense") | F.col("dense"), F.col("item_dense") & F.col("dense") & ~F.col("second") & (F.concat_ws(" ", "slots") == F.concat_ws(" ", "item_slots"))).otherwise(True)
+        met = put(windows(texts, "doc", size).join(small(sought), "h").where(fits).select("doc", "h", "at", "slots", "item_id", "window", "item_at", "item_slots"), "met-windows")
+        met = met.withColumn("doc_id", F.col("doc.doc_id")).withColumn("row", F.when(F.col("doc_id").isNull(), F.col("doc.row"))).withColumn("off", F.col("at") - F.col("item_at"))
+        same = met.where(F.col("item_slots").eqNullSafe(F.col("slots"))).groupBy("doc_id", "row", "item_id").agg(F.count_distinct("window").alias("n_windows"))
         # where a window meets the item at several places, the one that most windows agree on
         one = ["doc", "item_id"]
         met = met.withColumn("votes", F.count("*").over(Window.partitionBy(*one, "off")))
@@ -126,11 +166,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hi
         met = met.withColumn("jump", (F.col("off") - F.lag("off").over(along) >= size).cast("int"))
         met = put(met.withColumn("part", F.sum(F.coalesce("jump", F.lit(0))).over(along)), "aligned-windows")
         good = same.union(_consistent(met, "doc", "part")).union(_consistent(met))
-        good = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows")).join(counts, "item_id")
-        good = good.where(F.col("n_windows") >= least).select("doc_id", "item_id", "n_windows")
+        good = good.groupBy("doc_id", "row", "item_id").agg(F.max("n_windows").alias("n_windows")).join(counts, "item_id")
+        good = good.where(F.col("n_windows") >= least).select("doc_id", "item_id", "n_windows", "row")
         out = good if out is None else out.union(good)
     return out
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the contaminated documents; rows with a null doc_id are told apart by their text."""
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    found = put(contaminated(docs, benchmark), "contaminated")
+    gone = found.select(place.alias("__ord"), F.coalesce("row", F.lit(0)).alias("__row")).distinct()
+    keyed = docs.withColumn("__ord", place).withColumn("__row", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
+    return keyed.join(small(gone), ["__ord", "__row"], "left_anti").select(*docs.columns)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

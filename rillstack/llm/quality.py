@@ -96,11 +96,12 @@ def fitted_threshold(docs: DataFrame, trusted: DataFrame, ratios: list[float], b
     return mid - LOWER * (mid - low)
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the words and the figures of the base rules."""
+def base_rules(docs: DataFrame, *carried: str) -> DataFrame:
+    """docs (doc_id, text) with the words and the figures of the base rules, and other columns."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = docs.select(
+        *carried,
         F.col("doc_id").cast("long").alias("doc_id"),
         words_of(F.col("text")).alias("words"),
         F.length(F.regexp_replace(text, BLANKS, "")).cast("long").alias("word_chars"),
@@ -115,45 +116,53 @@ def base_rules(docs: DataFrame) -> DataFrame:
         lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)),
     )
     counted = counted.select(
-        "doc_id", "words", "word_chars", "n_symbols",
+        *carried, "doc_id", "words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         threes.alias("threes"),
     )
     ordered = F.array_sort(F.transform("threes", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
     repeats = F.size("threes") > F.size(F.array_distinct("threes"))
-    counted = counted.select("doc_id", "words", "word_chars", "n_symbols", "n_dup_lines", F.when(repeats, ordered).alias("o"))
+    counted = counted.select(*carried, "doc_id", "words", "word_chars", "n_symbols", "n_dup_lines", F.when(repeats, ordered).alias("o"))
     o = F.col("o")
     again = F.filter(o, lambda x, j: x["t"].eqNullSafe(F.get(o, j - 1)["t"]) | x["t"].eqNullSafe(F.get(o, j + 1)["t"]))
     places = F.array_sort(F.transform(again, lambda x: x["i"]))
-    counted = counted.select("doc_id", "words", "word_chars", "n_symbols", "n_dup_lines", places.alias("at"))
+    counted = counted.select(*carried, "doc_id", "words", "word_chars", "n_symbols", "n_dup_lines", places.alias("at"))
     at = F.col("at")
     covered = F.aggregate(
         F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(p - F.get(at, j - 1), F.lit(3)))),
         F.lit(0), lambda a, x: a + x,
     )
     return counted.select(
-        "doc_id", "words", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        *carried, "doc_id", "words", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
-def quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float | None = None) -> DataFrame:
-    """For each document the base figures, the score and the verdict."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float | None = None, *carried: str) -> DataFrame:
+    """For each document the base figures, the score and the verdict, and other columns of docs."""
+    docs = docs.select(*carried, F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = bucket_counts(docs, trusted, buckets)
     raw, target, first = ({b: c[k] for b, c in counts.items()} for k in range(3))
     if threshold is None:
         threshold = fitted_threshold(docs, trusted, log_ratios(raw, first, buckets), buckets)
     table = _table(log_ratios(raw, target, buckets))
-    figures = base_rules(docs)
+    figures = base_rules(docs, *carried)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = figures.withColumn("score", mean_ratio(F.col("words"), F.col("n_words"), table, buckets))
     return scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *carried, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score",
     )
 
 
+def kept_rows(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """docs without the rows that the rules reject, judged row by row."""
+    judged = quality(docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text"), trusted, BUCKETS, None, "__row")
+    # a filter would be pushed down and repeat the rules' expressions; a generator stays where it is
+    once = F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return judged.select("__row", once.alias("__once")).select("__row.*")
+
+
 def trusted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
 

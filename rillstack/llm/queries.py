@@ -26,4 +26,20 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": r"""
+        with w as (
+            select doc_id, unnest(l) as word, generate_subscripts(l, 1) as i
+            from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as l from documents)
+        ), runs as (
+            select doc_id, i, word, list(word) over (partition by doc_id order by i rows between current row and 12 following) as l from w
+        ), owned as (
+            select doc_id, i, word, len(l) = 13 and min(doc_id) over (partition by l) < doc_id as again from runs
+        ), marked as (
+            select doc_id, i, word, bool_or(again) over (partition by doc_id order by i rows between 12 preceding and current row) as gone from owned
+        ), sums as (
+            select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as kept from marked group by doc_id
+        )
+        select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from documents left join sums using (doc_id)""",
+}
