@@ -33,6 +33,8 @@ MAX_LEXICON = 20_000
 #: A lexicon word stands in so many toxic documents at least, its log odds are this high, and its
 #: log-likelihood ratio is significant at one in 1,000.
 MIN_TOXIC, MIN_ODDS, MIN_G2 = 3, 1.5, 10.8
+#: Text bytes that are looked at together: a word of them takes some 200 bytes of figures.
+SLICE = 2 << 20
 #: Second-person words by language; signs that stand for letters.
 SECOND = {"you", "your", "yours", "yourself", "u", "ur", "tu", "te", "toi", "vous", "votre", "du", "dich", "dir", "dein", "ihr", "euch", "tú", "ti", "usted", "ustedes"}
 SWAPS = str.maketrans({"0": "o", "1": "i", "!": "i", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t"})
@@ -187,7 +189,7 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     """Words of labelled rows (text, toxic) and their log odds; one row of counts per word and slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
+        for batch in gathered(batches, limit=SLICE):
             data, at = text_buffer(batch.column("text"))
             starts, ends, word_at = word_spans(data, at)
             ids, distinct = word_ids(data, starts, ends)
@@ -224,12 +226,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[d
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lexicon = learn_lexicon(texts.where(~held_out(F.col("doc_id"))).join(marks, "doc_id").select("text", "toxic"))
+    lexicon = learn_lexicon(texts.where(~held_out(F.col("doc_id"))).join(marks.hint("merge"), "doc_id").select("text", "toxic"))  # one plan at any size
     chosen = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))  # max_rows rows of 12 bytes
     rows = texts.join(chosen, "doc_id").select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
+        for batch in gathered(batches, limit=SLICE):
             x = features(batch.column("text"), lexicon)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j]) for j in range(x.shape[1])), batch.column("toxic")], [*NAMES, "toxic"])
 
@@ -250,7 +252,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], model: Trees) -> DataFrame
     arrow_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
+        for batch in gathered(batches, limit=SLICE):
             s = model.score(features(batch.column("text"), lexicon))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
