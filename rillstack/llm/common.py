@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -187,6 +189,46 @@ def word_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return prints[ids]
 
 
+@cache
+def _random(kind: int) -> tuple[np.ndarray, int, int]:
+    """256 random values, an odd base and its inverse modulo 2**64; the same everywhere."""
+    draw = Random(kind)
+    base = draw.getrandbits(64) | 1
+    return np.array([draw.getrandbits(64) for _ in range(256)], np.uint64), base, pow(base, -1, 1 << 64)
+
+
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _power(kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse up to n."""
+    have = _powers.get(kind)
+    if have is None or len(have[0]) < n:
+        _, base, inverse = _random(kind)
+        size = max(n, 1 << 22)
+        have = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (base, inverse))
+        if size <= 1 << 23:
+            _powers[kind] = have
+    return have
+
+
+def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
+    """Polynomial hashes modulo 2**64 of ranges of values, by prefix sums."""
+    up, down = _power(kind, len(values) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same on every executor; different kinds are independent."""
+    return _ranges(_random(kind)[0][data], starts, ends, kind)
+
+
+def poly_prints(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of words, from the words' hashes."""
+    return _ranges(hashes, starts, ends, 3)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x ^ (x >> np.uint64(33))

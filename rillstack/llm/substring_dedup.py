@@ -1,14 +1,19 @@
 """Operator 4: removal of repeated word windows, found by recompression.
 
 Each round names maximal runs of equal symbols, then pairs of a left-class and a right-class symbol.
-Names are fingerprints of what they stand for, so equal word runs get equal interior symbols on
-every executor. With each symbol goes the range of words that fixes it. After two rounds a symbol
-stands for about five words; those that only one document has rule out every window which holds
-their range. The remaining windows are compared by a 128-bit fingerprint of their words; the owner
-of a window is the smallest document it starts in.
+Names are fingerprints of what they stand for, so equal word runs get equal interior symbols on every
+executor. With each symbol goes the range of words that fixes it. After the rounds each window is
+given the symbol with the smallest hash among those that it fixes (or, if it fixes none, a symbol of
+its own): equal windows are given equal symbols at equal places. Spark then rounds up the symbols that
+documents share, and in a second round the tiles: a tile is the run of words whose windows were all
+given one occurrence of a shared symbol. A tile that a smaller document has too goes as a whole; only
+where one symbol stands in different tiles are their windows compared one by one, once for each
+different tile. Windows are told apart by two independent 64-bit hashes: that of the symbol, and one of
+the words by other random values.
 
 Defined results: a null or empty text has no words; a null ``doc_id`` comes after all others; rows
-with the same ``doc_id`` never remove each other's words; texts shorter than a window stay whole.
+with the same ``doc_id`` never remove each other's words; texts shorter than a window stay whole;
+columns other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -21,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstack.llm.common import arrow_limits, documents, gathered, mix, ngram_prints, put, starts_inside, text_buffer, word_prints, word_spans
+from rillstack.llm.common import LAST, arrow_limits, documents, drop, gathered, mix, poly_prints, put, small, starts_inside, text_buffer, word_hashes, word_spans
 
 WINDOW = 13
 ROUNDS = 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-LAST = (1 << 63) - 1
+SLICE = 4 << 20
 
 
 def recompress(prints: np.ndarray, word_at: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,16 +73,29 @@ def recompress(prints: np.ndarray, word_at: np.ndarray, rounds: int = ROUNDS) ->
     return sym, low, high
 
 
-def _parsed(batch: pa.RecordBatch, window: int):
+def _given(batch: pa.RecordBatch, window: int):
+    """Of all windows of a batch: the index of the word they start at, the symbol they are given, and
+    which occurrence of it; also the words before each document and hashes of the words' second kind."""
     data, at = text_buffer(batch.column("text"))
     starts, ends, word_at = word_spans(data, at)
-    prints = word_prints(data, starts, ends)
-    sym, low, high = recompress(prints, word_at)
-    fit = (high - low <= window) & (low >= 0)
+    one, two = (word_hashes(data, starts, ends, k) for k in (1, 2))
+    sym, low, high = recompress(one, word_at)
+    doc = np.searchsorted(word_at, np.clip(low, 0, None), side="right") - 1
+    fit = (high - low <= window) & (low >= word_at[np.minimum(doc, len(word_at) - 1)]) & (high <= word_at[np.minimum(doc + 1, len(word_at) - 1)])
     sym, low, high = sym[fit], low[fit], high[fit]
-    doc = np.searchsorted(word_at, low, side="right") - 1
-    inside = high <= word_at[np.minimum(doc + 1, len(word_at) - 1)]
-    return prints, word_at, sym[inside].view(np.int64), low[inside], high[inside], doc[inside]
+    p = starts_inside(word_at, window)
+    first, end = np.searchsorted(low, p), np.searchsorted(high, p + window, side="right")
+    rank = np.append(mix(sym ^ _B), ~np.uint64(0))
+    best, place = np.full(len(p), ~np.uint64(0)), np.full(len(p), -1, np.int64)
+    for k in range(int((end - first).max(initial=0))):
+        here = first + k
+        r = rank[np.minimum(here, len(sym))]
+        better = (here < end) & ((r < best) | (place < 0))
+        best, place = np.where(better, r, best), np.where(better, here, place)
+    own = place < 0
+    given = np.where(own, poly_prints(one, p, p + window), np.append(sym, np.uint64(0))[place])
+    place = np.where(own, -1 - p, place)  # an occurrence of its own
+    return p, given, place, word_at, two
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -88,77 +106,107 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def removed_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(ord, th, at): word indexes at which a window starts that a smaller document has too."""
+def removed_ranges(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(ord, th, at, n): n windows from the word at `at` on that a smaller document has too."""
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
-            _, _, sym, _, _, doc = _parsed(batch, window)
+        for batch in gathered(batches, limit=SLICE):
+            p, given, _, word_at, _ = _given(batch, window)
+            doc = np.searchsorted(word_at, p, side="right") - 1
+            order = np.lexsort((given, doc))
+            d, s = doc[order], given[order]
+            new = np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1])]) if len(d) else np.zeros(0, bool)
+            d, s = d[new], s[new].view(np.int64)
             ords, ths = batch.column("ord").to_numpy(), batch.column("th").to_numpy()
-            found = np.unique(np.rec.fromarrays([doc, sym]))
-            d, s = found.f0, found.f1
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(ords[d]), pa.array(ths[d])], ["sym", "ord", "th"])
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
-            prints, word_at, sym, low, high, doc = _parsed(batch, window)
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, limit=SLICE):
+            p, given, place, word_at, two = _given(batch, window)
             lists = batch.column("shared")
-            lists = lists.fill_null(pa.scalar([], lists.type)) if lists.null_count else lists
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            have = np.unique(np.rec.fromarrays([owner, flat]).astype([("f0", np.int64), ("f1", np.int64)]))
-            want = np.rec.fromarrays([doc.astype(np.int64), sym]).astype([("f0", np.int64), ("f1", np.int64)])
-            alone = ~np.isin(want, have) if len(have) else np.ones(len(want), dtype=bool)
-            bad = np.zeros(len(prints) + 1, np.int64)  # windows that hold the range of a lone symbol
-            np.add.at(bad, np.maximum(high[alone] - window, word_at[doc[alone]]), 1)
-            np.add.at(bad, low[alone] + 1, -1)
-            p = starts_inside(word_at, window)
-            p = p[np.cumsum(bad)[p] == 0]
-            d = np.searchsorted(word_at, p, side="right") - 1
-            one, two = ngram_prints(prints, window), ngram_prints(prints, window, 77)
+            doc = np.searchsorted(word_at, p, side="right") - 1
+            salt = mix(np.arange(batch.num_rows, dtype=np.uint64) + _A)  # a symbol is shared for its own document only
+            keep = np.isin(given ^ salt[doc], flat ^ salt[owner])
+            p, given, place, doc = p[keep], given[keep], place[keep], doc[keep]
+            new = np.concatenate([[True], (place[1:] != place[:-1]) | (p[1:] != p[:-1] + 1)]) if len(p) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            n = np.diff(first, append=len(p))
             ords, ths = batch.column("ord").to_numpy(), batch.column("th").to_numpy()
+            whole = poly_prints(two, p[first], p[first] + n + window - 1)
+            each = poly_prints(two, p, p + window)
+            words = pa.ListArray.from_arrays(pa.array(np.append(first, len(p)).astype(np.int32)), pa.array(each.view(np.int64)))
+            d = doc[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one[p].view(np.int64)), pa.array(two[p].view(np.int64)), pa.array(ords[d]), pa.array(ths[d]), pa.array((p - word_at[d]).astype(np.int32))],
-                ["one", "two", "ord", "th", "at"],
+                [pa.array(given[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ords[d]), pa.array(ths[d]), pa.array((p[first] - word_at[d]).astype(np.int32)), pa.array(n.astype(np.int32)), words],
+                ["sym", "tile", "ord", "th", "at", "n", "w"],
             )
 
     rows = rows.select("ord", "th", "text")
     names = put(rows.mapInArrow(symbols, "sym long, ord long, th long"), "symbols")
     shared = names.groupBy("sym").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("sym")
-    lists = names.join(shared, "sym").groupBy("ord", "th").agg(F.collect_set("sym").alias("shared"))  # one document's symbols
-    found = put(rows.join(lists, ["ord", "th"], "left").mapInArrow(candidates, "one long, two long, ord long, th long, at int"), "windows")
-    owners = found.groupBy("one", "two").agg(F.min("ord").alias("owner"), F.max("ord").alias("hi")).where("owner < hi").select("one", "two", "owner")
-    return found.join(owners, ["one", "two"]).where("owner < ord").select("ord", "th", "at")
+    shared = put(shared, "shared-symbols")
+    lists = put(names.join(shared, "sym").groupBy("ord", "th").agg(F.collect_set("sym").alias("shared")), "shared-lists")  # one document's symbols
+    drop(names)
+    drop(shared)
+    found = put(rows.join(lists, ["ord", "th"]).mapInArrow(tiles, "sym long, tile long, ord long, th long, at int, n int, w array<long>"), "tiles")
+    drop(lists)
+    owners = put(found.groupBy("sym", "tile", "n").agg(F.min("ord").alias("owner")), "tile-owners")
+    later = found.drop("w").join(owners, ["sym", "tile", "n"]).where("owner < ord").select("ord", "th", "at", "n")
+    several = owners.groupBy("sym").agg(F.count("*").alias("tiles")).where("tiles > 1").select("sym")
+    some = found.join(owners.join(several, "sym"), ["sym", "tile", "n"]).where("owner = ord")
+    single = put(some.select("sym", "ord", "th", "at", F.posexplode("w").alias("k", "h")), "single-windows")
+    first = single.groupBy("sym", "h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("sym", "h", "lo")
+    inner = single.join(first, ["sym", "h"]).where("lo < ord").select("ord", "th", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("n"))
+    out = put(later.union(inner), "removed")
+    for table in (found, owners, single):
+        drop(table)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """For each document the words, the removed ones and a digest of the kept (and their text)."""
     arrow_limits(docs.sparkSession)
     rows = keyed(docs)
-    gone = put(removed_windows(rows, window), "removed").groupBy("ord", "th").agg(F.collect_set("at").alias("gone"))
+    gone = removed_ranges(rows, window).groupBy("ord", "th").agg(F.collect_set(F.struct("at", "n")).alias("gone"))  # one document's ranges
+    gone = put(gone.select("ord", "th", F.col("gone.at").alias("at"), F.col("gone.n").alias("n")), "removed-ranges")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
-            out = []
-            for doc_id, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "gone")), strict=True):
-                data, at = text_buffer(pa.array([text], pa.large_string()))
-                starts, ends, _ = word_spans(data, at)
-                mark = np.zeros(len(starts) + 1, np.int64)
-                if places:
-                    p = np.array(places)
-                    mark[p] += 1
-                    np.add.at(mark, p + window, -1)
-                keep = np.cumsum(mark)[:-1] == 0
-                body = data.tobytes()
-                kept = b" ".join(body[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
-                row = (doc_id, len(starts), int((~keep).sum()), hashlib.sha256(kept).hexdigest())
-                out.append((*row, kept.decode()) if with_text else row)
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)], names)
-
-    return rows.join(gone, ["ord", "th"], "left").select("doc_id", "text", "gone").mapInArrow(run, schema)
+        for batch in gathered(batches, limit=SLICE):
+            data, at = text_buffer(batch.column("text"))
+            starts, ends, word_at = word_spans(data, at)
+            lists = [batch.column(c).fill_null(pa.scalar([], batch.column(c).type)) if batch.column(c).null_count else batch.column(c) for c in ("at", "n")]
+            first, n = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+            begin = first + np.repeat(word_at[:-1], np.diff(lists[0].offsets.to_numpy()))
+            change = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(change, begin, 1)
+            np.add.at(change, begin + n + window - 1, -1)
+            keep = np.cumsum(change)[:-1] == 0
+            kept = np.flatnonzero(keep)
+            # the bytes of the kept words, and one blank behind each but a document's last
+            mark = np.zeros(len(data) + 2, np.int32)
+            np.add.at(mark, starts[kept], 1)
+            np.add.at(mark, ends[kept], -1)
+            solid = np.cumsum(mark)[: len(data) + 1] > 0
+            doc = np.searchsorted(word_at, kept, side="right") - 1
+            blank = ends[kept[:-1]][doc[:-1] == doc[1:]]
+            body = np.append(data, np.uint8(32))
+            body[blank] = 32
+            solid[blank] = True
+            upto = np.concatenate([[0], np.cumsum(solid)])[at]
+            body = body[solid].tobytes()
+            sums = np.concatenate([[0], np.cumsum(keep)])[word_at]
+            counts = np.diff(word_at)
+            texts = [body[x:y] for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+            columns = [batch.column("doc_id"), pa.array(counts), pa.array(counts - np.diff(sums)), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            if with_text:
+                columns, names = [*columns, pa.array([x.decode() for x in texts], pa.string())], [*names, "kept"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.join(gone, ["ord", "th"], "left").select("doc_id", "text", "at", "n").mapInArrow(run, schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
