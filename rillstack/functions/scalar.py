@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -73,9 +73,30 @@ def to_slug(text: Column, size: int = 80) -> Column:
 
 
 def estimate_prompt_tokens(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("long")
+    """About four characters a token; an empty or null text has none."""
+    return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
 
 
-def cache_key(*parts: Column) -> Column:
-    """SHA-256 of the parts as a JSON list."""
-    return F.sha2(F.to_json(F.array(*(F.coalesce(p.cast("string"), F.lit("null")) for p in parts))), 256)
+def cache_key(**parts: Column) -> Column:
+    """SHA-256 of the named parts as one JSON object in the order of their names; null and the text
+    "null" differ."""
+    return F.sha2(F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts))), {"ignoreNullFields": "false"}), 256)
+
+
+def safe_path(path: Column) -> Column:
+    """A relative path without empty, `.` and `..` parts and drive letters; signs other than letters,
+    digits, dot, hyphen and underscore become underscores. Raises where nothing is left."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^[A-Za-z]:", ""), "/")
+    clean = F.transform(F.filter(parts, lambda p: ~F.trim(p).isin("", ".", "..")), lambda p: F.regexp_replace(F.trim(p), r"[^\p{L}\p{N}._-]", "_"))
+    out = F.array_join(clean, "/")
+    return F.when(out == "", F.raise_error(F.lit("the path has no name")).cast("string")).otherwise(out)
+
+
+def merge(df: DataFrame, updates: dict[str, Column], closed: bool = False) -> DataFrame:
+    """df with the updates; a closed record type takes only those of columns that it has."""
+    return df.withColumns({k: v for k, v in updates.items() if not closed or k in df.columns}) if updates else df
+
+
+def redacted_url(url: Column) -> Column:
+    """A URL without its user and query."""
+    return F.regexp_replace(F.regexp_replace(url, r"(?<=://)[^/@]*@", "***@"), r"\?.*$", "?***")

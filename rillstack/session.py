@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -13,8 +16,20 @@ def local_session(cores: int | str = 8, app: str = "rillstack") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A new path in the folder that driver and executors share: the one given, else that of
+    ``spark.checkpoint.dir``; a local session without either gets a temporary one."""
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="rillstack-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
