@@ -136,7 +136,8 @@ def signatures(docs: np.ndarray, codes: np.ndarray, n_docs: int, slots: int) ->
 
 
 def signed(rows: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, width: int = ROWS) -> DataFrame:
-    """rows (id, text, ...) to their other columns, sig and bands (both empty without a shingle)."""
+    """rows (id, text, ...) to their other columns, n (the number of shingles), sig and bands (both empty
+    without a shingle)."""
     rest = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +160,9 @@ def signed(rows: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, width: i
                 ends = np.concatenate([[0], np.cumsum(keep * x.shape[1])]).astype(np.int32)
                 return pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel(), kind))
 
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), lists(small, pa.int32()), lists(keys.view(np.int64), pa.int64())], [*(f.name for f in rest), "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(np.bincount(docs, minlength=batch.num_rows), pa.int64()), lists(small, pa.int32()), lists(keys.view(np.int64), pa.int64())], [*(f.name for f in rest), "n", "sig", "bands"])
 
-    schema = rows.drop("text").withColumns({"sig": F.lit(None).cast("array<int>"), "bands": F.lit(None).cast("array<long>")}).schema
+    schema = rows.drop("text").withColumns({"n": F.lit(None).cast("long"), "sig": F.lit(None).cast("array<int>"), "bands": F.lit(None).cast("array<long>")}).schema
     return rows.select(*(f.name for f in rest), "text").mapInArrow(run, schema)
 
 
@@ -204,20 +205,26 @@ def text_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     place = F.coalesce("doc_id", F.lit(LAST))
     firsts = rows.groupBy("tid", place.alias("ord")).agg(F.count("*").alias("rows"))
     firsts = put(firsts.groupBy("tid").agg(F.min("ord").alias("ord"), F.min_by("rows", "ord").alias("rows")), "classes")
-    one = put(signs.dropDuplicates(["tid"]).select("tid", "sig", "bands"), "class-signatures")
-    sig = one.select("tid", "sig")
+    one = put(signs.dropDuplicates(["tid"]).select("tid", "n", "sig", "bands"), "class-signatures")
+    sig = one.select("tid", "n", "sig")
 
     def judge(pairs: DataFrame, close: bool) -> DataFrame:
         # the distance is a metric: two links in a row span twice the distance of one
         least = max(2 * similarity - 1, 0.0) if close else similarity
-        near = pairs.join(sig.select(F.col("tid").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("tid").alias("b"), F.col("sig").alias("sb")), "b")
+        near = pairs.join(sig.select(F.col("tid").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(sig.select(F.col("tid").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
         agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        near = put(near.where(agree >= (least - SLACK) * BANDS * ROWS).select("a", "b"), "near-pairs")
+        # an overlap is no more than the ratio of the sizes
+        near = near.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b", (agree / (BANDS * ROWS)).alias("e"))
+        near = put(near.where(F.col("e") >= least - SLACK), "near-pairs")
+        rest, near = near.where(F.col("e") < similarity - SLACK), near.where(F.col("e") >= similarity - SLACK).select("a", "b")
         ids = put(near.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(firsts.select("tid", "ord"), "tid"), "near-ids")
         owned = texts.withColumn("ord", place).join(small(ids), ["tid", "ord"], "left_semi")
         some = put(owned.select("tid", "text").dropDuplicates(["tid"]), "near-texts")
         full = near.join(some.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
-        out = put(overlaps(full, shingle, least), "overlaps")
+        out = overlaps(full, shingle, least)
+        if close:  # those that surely aren't linked are close by their estimate, taken high
+            out = out.union(rest.select("a", "b", F.least(F.col("e") + SLACK, F.lit(similarity - 1e-6)).alias("s")))
+        out = put(out, "overlaps")
         for table in (near, ids, some):
             drop(table)
         return out
