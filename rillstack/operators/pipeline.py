@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
@@ -22,6 +22,8 @@ OUTCOME, REASON, ERROR_TYPE, ERROR, RAW = "_outcome", "_reason", "_error_type",
 CONTROL = (OUTCOME, REASON, ERROR_TYPE, ERROR, RAW)
 WRITTEN, DROPPED, ERRORED = "written", "dropped", "errored"
 Stage = Callable[[DataFrame], DataFrame]
+#: Parts of a dedup key's records that are numbered apart.
+SALTS = 64
 #: What a failing stage does with the record.
 ON_ERROR = ("passthrough", "drop", "log", "raise", "dlq")
 
@@ -146,34 +148,21 @@ def route_stage(key: Column, branches: dict, default: dict[str, Column] | Stage
 
 def dedup_stage(key: Column, *order: str, name: str = "dedup") -> Stage:
     """Of live records with equal keys the first in order stays; ties go by a hash of the whole record,
-    and of records equal in that too one stays. Null is a key of its own. Only keys and places are
-    aggregated, map side first; keys with a single record then need no further look."""
+    and of records equal in that too one stays. Null is a key of its own. A key's records are numbered in
+    SALTS parts first and only the parts' firsts together, so a key that holds a third of all records
+    stays spread."""
 
     def run(df: DataFrame) -> DataFrame:
-        place = F.struct(*order, F.xxhash64(RAW).alias("_hash"))
-        keyed = df.withColumn("_key", F.struct(key.alias("k")))
-        firsts = keyed.where(live()).groupBy("_key").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-        joined = keyed.join(firsts, "_key", "left")
-        out = mark(joined, place != F.col("_first"), DROPPED, name)
-        twin = F.row_number().over(_window(["_key", "_first", OUTCOME, RAW]))
-        again = live() & F.col("_first").isNotNull()
-        # only the first records of repeated keys are numbered
-        return _second(out, again, twin, name).drop("_key", "_first", "_n")
+        keyed = df.withColumns({"_key": F.struct(key.alias("k")), "_live": live(), "_hash": F.xxhash64(RAW)}).withColumn("_salt", F.pmod("_hash", F.lit(SALTS)))
+        place = [*order, "_hash"]
+        part = keyed.withColumn("_first", F.row_number().over(Window.partitionBy("_key", "_live", "_salt").orderBy(*place)))
+        among = Window.partitionBy("_key", "_live", F.when(F.col("_first") > 1, F.col("_salt"))).orderBy(*place)
+        out = mark(part.withColumn("_next", F.row_number().over(among)), (F.col("_first") > 1) | (F.col("_next") > 1), DROPPED, name)
+        return out.drop("_key", "_live", "_hash", "_salt", "_first", "_next")
 
     return named(run, name)
 
 
-def _window(keys: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(RAW)
-
-
-def _second(df: DataFrame, of: Column, number: Column, name: str) -> DataFrame:
-    rest, some = df.where(~of), df.where(of).withColumn("_twin", number)
-    return rest.unionByName(mark(some, F.col("_twin") > 1, DROPPED, name).drop("_twin"))
-
-
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The newest record of each key, by one aggregation."""
     rest = [c for c in df.columns if c not in keys]
