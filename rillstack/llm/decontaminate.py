@@ -45,16 +45,17 @@ def _template(df: DataFrame, key: str) -> DataFrame:
     a column of its own, so that no expression is evaluated twice a word."""
     bare = F.transform("w", lambda w: F.when(w.rlike("^[A-Za-z0-9]+$"), w).otherwise(F.regexp_replace(w, EDGE, "")))
     ends = F.transform("w", lambda w: F.substring(w, -1, 1).isin(*ENDS))
-    df = df.select(key, bare.alias("b"), ends.alias("e"))
+    # zipped, not looked up: an array that a lambda refers to would be made anew for each word
+    starts = F.concat(F.array(F.lit(True)), F.slice(ends, F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))))
 
-    def seen(b: Column, i: Column) -> Column:
+    def seen(b: Column, starts: Column) -> Column:
         own = b.endswith("'s") | b.endswith("’s")
         return F.struct(
             F.lower(b).alias("low"), b.rlike(r"^\p{N}[\p{N}.,]*$").alias("number"), own.alias("own"),
-            b.rlike(r"^\p{Lu}\p{Ll}+(['’]s)?$").alias("name"), F.coalesce(F.get("e", i - 1), F.lit(True)).alias("starts"),
+            b.rlike(r"^\p{Lu}\p{Ll}+(['’]s)?$").alias("name"), starts.alias("starts"),
         )
 
-    df = df.select(key, F.transform("b", seen).alias("x"))
+    df = df.select(key, F.zip_with(bare, starts, seen).alias("x"))
 
     def kinds(x: Column) -> Column:
         kind = F.when(x["number"], F.lit("<num>")).when(x["low"].isin(*UNITS), F.lit("<unit>"))
@@ -116,8 +117,11 @@ def windows(df: DataFrame, key: str, size: int) -> DataFrame:
     makes different; df is made by templates(). A window is dense if it has few literals. What isn't
     needed for a join on h is evaluated behind it."""
     df = _codes(_codes(df, "t", size, "c1"), "t2", size, "c2")
+    # one row of its own, so that the arrays are made once and not for each window that comes of them
+    df = df.select(key, F.explode(F.array(F.struct("v", "v2", "c1", "c2"))).alias("x"))
     # outer: else a filter on the array would be inferred, pushed down, and repeat all that makes it
-    flat = df.select(key, "v", "v2", "c2", F.posexplode_outer("c1").alias("at", "h1")).withColumn("h2", F.get("c2", F.col("at")))
+    flat = df.select(key, "x", F.posexplode_outer("x.c1").alias("at", "h1"))
+    flat = flat.select(key, F.col("x.v").alias("v"), F.col("x.v2").alias("v2"), "at", "h1", F.get("x.c2", F.col("at")).alias("h2"))
     one, two = (F.struct(F.lit(x).alias("second"), F.col(h).alias("h")) for x, h in ((False, "h1"), (True, "h2")))
     flat = flat.select(key, "v", "v2", "at", F.explode(F.when(F.col("h1") == F.col("h2"), F.array(one)).otherwise(F.array(one, two))).alias("x"))
     cut = [F.slice(F.col(c), F.col("at") + 1, F.lit(size)) for c in ("v", "v2")]
