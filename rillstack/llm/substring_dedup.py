@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstack.llm.common import LAST, arrow_limits, documents, drop, gathered, mix, poly_prints, put, small, starts_inside, text_buffer, word_hashes, word_spans
+from rillstack.llm.common import LAST, arrow_limits, documents, drop, gathered, mix, poly_prints, put, starts_inside, text_buffer, word_hashes, word_spans
 
 WINDOW = 13
 ROUNDS = 2
@@ -135,14 +135,26 @@ def removed_ranges(rows: DataFrame, window: int = WINDOW) -> DataFrame:
             n = np.diff(first, append=len(p))
             ords, ths = batch.column("ord").to_numpy(), batch.column("th").to_numpy()
             whole = poly_prints(two, p[first], p[first] + n + window - 1)
-            each = poly_prints(two, p, p + window)
-            words = pa.ListArray.from_arrays(pa.array(np.append(first, len(p)).astype(np.int32)), pa.array(each.view(np.int64)))
             d = doc[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(given[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ords[d]), pa.array(ths[d]), pa.array((p[first] - word_at[d]).astype(np.int32)), pa.array(n.astype(np.int32)), words],
-                ["sym", "tile", "ord", "th", "at", "n", "w"],
+                [pa.array(given[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ords[d]), pa.array(ths[d]), pa.array((p[first] - word_at[d]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                ["sym", "tile", "ord", "th", "at", "n"],
             )
 
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, limit=SLICE):
+            data, at = text_buffer(batch.column("text"))
+            starts, ends, word_at = word_spans(data, at)
+            two = word_hashes(data, starts, ends, 2)
+            lists = batch.column("tiles")
+            syms, first, n = (lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            doc = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), n)
+            place = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            p = word_at[doc] + place
+            ords, ths = batch.column("ord").to_numpy(), batch.column("th").to_numpy()
+            h = poly_prints(two, p, p + window)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(syms, n)), pa.array(h.view(np.int64)), pa.array(ords[doc]), pa.array(ths[doc]), pa.array(place.astype(np.int32))], ["sym", "h", "ord", "th", "at"])
+
     rows = rows.select("ord", "th", "text")
     names = put(rows.mapInArrow(symbols, "sym long, ord long, th long"), "symbols")
     shared = names.groupBy("sym").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("sym")
@@ -150,19 +162,26 @@ def removed_ranges(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     lists = put(names.join(shared, "sym").groupBy("ord", "th").agg(F.collect_set("sym").alias("shared")), "shared-lists")  # one document's symbols
     drop(names)
     drop(shared)
-    found = put(rows.join(lists, ["ord", "th"]).mapInArrow(tiles, "sym long, tile long, ord long, th long, at int, n int, w array<long>"), "tiles")
+    found = put(rows.join(lists, ["ord", "th"]).mapInArrow(tiles, "sym long, tile long, ord long, th long, at int, n int"), "tiles")
     drop(lists)
-    owners = put(found.groupBy("sym", "tile", "n").agg(F.min("ord").alias("owner")), "tile-owners")
-    later = found.drop("w").join(owners, ["sym", "tile", "n"]).where("owner < ord").select("ord", "th", "at", "n")
+    owners = put(found.groupBy("sym", "tile").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")), "tile-owners")
+    repeated = owners.where("lo < hi").select("sym", "tile", "lo")
+    later = put(found.join(repeated, ["sym", "tile"]).where("lo < ord").select("ord", "th", "at", "n"), "repeated-tiles")
+    # symbols with several tiles: the windows of each tile's owner
     several = owners.groupBy("sym").agg(F.count("*").alias("tiles")).where("tiles > 1").select("sym")
-    some = found.join(owners.join(several, "sym"), ["sym", "tile", "n"]).where("owner = ord")
-    single = put(some.select("sym", "ord", "th", "at", F.posexplode("w").alias("k", "h")), "single-windows")
-    first = single.groupBy("sym", "h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("sym", "h", "lo")
-    inner = single.join(first, ["sym", "h"]).where("lo < ord").select("ord", "th", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("n"))
-    out = put(later.union(inner), "removed")
-    for table in (found, owners, single):
-        drop(table)
-    return out
+    mine = put(owners.join(several, "sym").select("sym", "tile", F.col("lo").alias("ord")), "lone-tiles")
+    drop(owners)
+    some = found.join(mine, ["sym", "tile", "ord"]).groupBy("ord", "th").agg(F.collect_list(F.struct("sym", "at", "n")).alias("tiles"))  # one document's tiles
+    some = put(some, "tile-lists")
+    drop(found)
+    drop(mine)
+    each = put(rows.join(some, ["ord", "th"]).mapInArrow(single, "sym long, h long, ord long, th long, at int"), "single-windows")
+    drop(some)
+    first = put(each.groupBy("sym", "h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("sym", "h", "lo"), "window-owners")
+    inner = put(each.join(first, ["sym", "h"]).where("lo < ord").select("ord", "th", "at", F.lit(1).alias("n")), "repeated-windows")
+    drop(each)
+    drop(first)
+    return later.union(inner)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
