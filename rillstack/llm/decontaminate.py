@@ -113,20 +113,25 @@ def _doubled(df: DataFrame, rest: list[str], column: str, runs: list[str], last:
 
 
 def windows(df: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, h, at, second, slots, dense) of all windows, and once more of those that the second template
-    makes different; df is made by templates(). A window is dense if it has few literals. What isn't
-    needed for a join on h is evaluated behind it."""
+    """(key, h, at, second) of all windows, and once more of those that the second template makes
+    different; df is made by templates(). Rows are narrow: what a window holds is looked up by slots()."""
     df = _codes(_codes(df, "t", size, "c1"), "t2", size, "c2")
-    # one row of its own, so that the arrays are made once and not for each window that comes of them
-    df = df.select(key, F.explode(F.array(F.struct("v", "v2", "c1", "c2"))).alias("x"))
     # outer: else a filter on the array would be inferred, pushed down, and repeat all that makes it
-    flat = df.select(key, "x", F.posexplode_outer("x.c1").alias("at", "h1"))
-    flat = flat.select(key, F.col("x.v").alias("v"), F.col("x.v2").alias("v2"), "at", "h1", F.get("x.c2", F.col("at")).alias("h2"))
+    flat = df.select(key, F.posexplode_outer(F.arrays_zip("c1", "c2")).alias("at", "x")).select(key, "at", F.col("x.c1").alias("h1"), F.col("x.c2").alias("h2"))
     one, two = (F.struct(F.lit(x).alias("second"), F.col(h).alias("h")) for x, h in ((False, "h1"), (True, "h2")))
-    flat = flat.select(key, "v", "v2", "at", F.explode(F.when(F.col("h1") == F.col("h2"), F.array(one)).otherwise(F.array(one, two))).alias("x"))
-    cut = [F.slice(F.col(c), F.col("at") + 1, F.lit(size)) for c in ("v", "v2")]
-    dense = F.size(F.array_compact(cut[0])) > size - min(LITERALS, size - 1)
-    return flat.select(key, F.col("x.h").alias("h"), "at", F.col("x.second").alias("second"), F.when(F.col("x.second"), cut[1]).otherwise(cut[0]).alias("slots"), dense.alias("dense"))
+    flat = flat.select(key, "at", F.explode(F.when(F.col("h1") == F.col("h2"), F.array(one)).otherwise(F.array(one, two))).alias("x"))
+    return flat.select(key, F.col("x.h").alias("h"), "at", F.col("x.second").alias("second"))
+
+
+def slots(df: DataFrame, key: str, size: int, hits: DataFrame) -> DataFrame:
+    """hits (key, at, second, ...) with the slots of their windows, and whether they are dense (have few
+    literals); df is made by templates(), each key on one row."""
+    places = hits.groupBy(key).agg(F.collect_set("at").alias("places"))  # one text's windows
+    cut = F.transform("places", lambda p: F.struct(p.alias("at"), F.slice("v", p + 1, F.lit(size)).alias("s1"), F.slice("v2", p + 1, F.lit(size)).alias("s2")))
+    each = df.select(key, "v", "v2").join(places, key).select(key, F.explode(cut).alias("x")).select(key, F.col("x.at").alias("at"), F.col("x.s1").alias("s1"), F.col("x.s2").alias("s2"))
+    dense = F.size(F.array_compact("s1")) > size - min(LITERALS, size - 1)
+    each = put(each.withColumn("dense", dense), "window-slots")
+    return hits.join(each, [key, "at"]).withColumn("slots", F.when(F.col("second"), F.col("s2")).otherwise(F.col("s1"))).drop("s1", "s2")
 
 
 def _consistent(met: DataFrame, *part: str) -> DataFrame:
@@ -149,7 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hi
     for size in sizes:
         mine = items if size == window else items.where(F.size("t") == size)
         least = F.least(F.lit(hits), F.col("n_item")) if size == window else F.lit(1)
-        parts = windows(mine, "item_id", size)
+        parts = put(slots(mine, "item_id", size, put(windows(mine, "item_id", size).where("h is not null"), "item-windows")), "item-windows")
         # a window goes by its first template, whichever meets; with few literals also by their values
         place = Window.partitionBy("item_id", "at")
         own = F.when(F.col("dense"), F.xxhash64("h", F.concat_ws(" ", "slots"))).otherwise(F.col("h"))
@@ -157,7 +162,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hi
         counts = parts.groupBy("item_id").agg(F.count_distinct("window").alias("n_item"))
         sought = parts.select("item_id", "h", "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("dense").alias("item_dense"))
         fits = F.when(F.col("item_dense") | F.col("dense"), F.col("item_dense") & F.col("dense") & ~F.col("second") & (F.concat_ws(" ", "slots") == F.concat_ws(" ", "item_slots"))).otherwise(True)
-        met = put(windows(texts, "doc", size).join(small(sought), "h").where(fits).select("doc", "h", "at", "slots", "item_id", "window", "item_at", "item_slots"), "met-windows")
+        met = put(windows(texts, "doc", size).join(small(sought), "h"), "met-windows")
+        there = put(met.select("doc").distinct(), "met-documents")
+        # only the documents that met anything are looked into
+        some = docs.select(doc.alias("doc"), "text").join(small(there), "doc", "left_semi").dropDuplicates(["doc"])
+        met = slots(templates(some, "doc"), "doc", size, met).where(fits).select("doc", "at", "slots", "item_id", "window", "item_at", "item_slots")
         met = met.withColumn("doc_id", F.col("doc.doc_id")).withColumn("row", F.when(F.col("doc_id").isNull(), F.col("doc.row"))).withColumn("off", F.col("at") - F.col("item_at"))
         same = met.where(F.col("item_slots").eqNullSafe(F.col("slots"))).groupBy("doc_id", "row", "item_id").agg(F.count_distinct("window").alias("n_windows"))
         # where a window meets the item at several places, the one that most windows agree on
