@@ -4,7 +4,7 @@ Each round names maximal runs of equal symbols, then pairs of a left-class and a
 Names are fingerprints of what they stand for, so equal word runs get equal interior symbols on every
 executor. With each symbol goes the range of words that fixes it. After the rounds each window is
 given the symbol with the smallest hash among those that it fixes (or, if it fixes none, a symbol of
-its own): equal windows are given equal symbols at equal places. Spark then rounds up the symbols that
+its own), named together with all the words that fix it: equal windows are given equal symbols at equal places. Spark then rounds up the symbols that
 documents share, and in a second round the tiles: a tile is the run of words whose windows were all
 given one occurrence of a shared symbol. A tile that a smaller document has too goes as a whole; only
 where one symbol stands in different tiles are their windows compared one by one, once for each
@@ -82,7 +82,8 @@ def _given(batch: pa.RecordBatch, window: int):
     sym, low, high = recompress(one, word_at)
     doc = np.searchsorted(word_at, np.clip(low, 0, None), side="right") - 1
     fit = (high - low <= window) & (low >= word_at[np.minimum(doc, len(word_at) - 1)]) & (high <= word_at[np.minimum(doc + 1, len(word_at) - 1)])
-    sym, low, high = sym[fit], low[fit], high[fit]
+    low, high = low[fit], high[fit]
+    sym = mix(poly_prints(one, low, high) ^ sym[fit])  # with all words that fix it
     p = starts_inside(word_at, window)
     first, end = np.searchsorted(low, p), np.searchsorted(high, p + window, side="right")
     rank = np.append(mix(sym ^ _B), ~np.uint64(0))
