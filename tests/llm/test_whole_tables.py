@@ -109,8 +109,9 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     docs = spark.read.parquet(f"{d}/documents.parquet")
+    # the first line of 2 is alike to that of 1 and goes with its other line: what is left of 2 is like nothing
     want = {
-        "quality_rules": [None, 1, 2, 3, 4, 4], "line_dedup": [None, 1, 2, 3, 4, 4], "near_duplicates": [None, 1, 3, 4], "decontamination": [None, 1, 4], "bpe": [None, 1, 4],
+        "quality_rules": [None, 1, 2, 3, 4, 4], "line_dedup": [None, 1, 2, 3, 4, 4], "near_duplicates": [None, 1, 2, 3, 4], "decontamination": [None, 1, 2, 4], "bpe": [None, 1, 2, 4],
     }
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, d)
@@ -122,4 +123,4 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
             assert all(r.n_chars == len(r.text) for r in docs.collect())
         if name != "bpe":
             assert docs.columns == corpus_pipeline.COLUMNS
-    assert corpus_pipeline.run(spark, d).count() == 3
+    assert corpus_pipeline.run(spark, d).count() == 4
