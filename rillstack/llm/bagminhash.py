@@ -8,8 +8,9 @@ block is the process split: the point goes to one half by a bit of its own, and
 a process of its own after it. All points are functions of the shingle and the part of the block, so
 documents share them. Points fall on random slots, and a slot keeps its earliest point: two documents
 agree in a slot with the probability of their weighted Jaccard similarity. A process ends as soon as its next point comes after the latest slot's. Slots are
-banded; members of a bucket go through the stars of ``star.py`` and are verified by the exact
-multiset overlap.
+banded; members of a bucket are judged against its hub (``star.py``) by the exact multiset overlap.
+Members of buckets that this leaves in several groups meet again by the rarest of their shingles
+(``prefix_pairs``), which finds all links between the groups and tries few pairs that aren't linked.
 
 Every row is signed where it is read; equal texts are one class from then on, so only signatures,
 digests and ids are shuffled, and texts of class representatives (smallest ``doc_id``) where a pair
@@ -34,8 +35,8 @@ from rillstack.llm.common import LAST, arrow_limits, documents, drop, gathered,
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-#: Pairs whose signatures agree in a share of slots this much below the similarity sought aren't
-#: verified: of pairs at similarity 0.8 so many have less by chance: 1 in 50,000.
+#: Pairs of a hub and a member whose signatures agree in a share of slots this much below the similarity
+#: sought aren't verified; those of them that are linked are found after the hubs.
 SLACK = 0.2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _NODE = np.uint64(0xD1B54A32D192ED03)
@@ -194,6 +195,65 @@ def overlaps(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, s double")
 
 
+def bags(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """rows (id, root, text) to (id, root, n, units): a unit is a shingle and which of its occurrences it is, so
+    that the overlap of multisets is that of the units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, limit=4 << 20):
+            data, at = text_buffer(batch.column("text"))
+            starts, ends, word_at = word_spans(data, at)
+            docs, codes = shingles(word_prints(data, starts, ends), word_at, shingle)
+            order = np.lexsort((codes, docs))
+            docs, codes = docs[order], codes[order]
+            place = np.arange(len(codes))
+            first = np.ones(len(codes), bool)
+            first[1:] = (docs[1:] != docs[:-1]) | (codes[1:] != codes[:-1])
+            again = place - np.maximum.accumulate(np.where(first, place, 0))
+            units = mix(codes + _GOLD * again.astype(np.uint64)).view(np.int64)
+            n = np.bincount(docs, minlength=batch.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(units))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), pa.array(n.astype(np.int64)), lists], ["id", "root", "n", "units"])
+
+    return rows.select("id", "root", "text").mapInArrow(run, "id long, root long, n long, units array<long>")
+
+
+def prefix_pairs(held: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of a table of bags(): all pairs of different roots at the similarity or more, and few others.
+
+    Each bag has its units in one order, those in the fewest bags first. Two bags that are alike share one
+    of the first units that a bag can't miss and still overlap enough; from the units before a shared
+    one and the number shared so far follows the most that the two can have in common.
+    """
+    one = held.select("id", F.explode("units").alias("u"))
+    often = put(one.groupBy("u").agg(F.count("*").alias("f")).where("f > 1"), "shared-units")
+    ranked = one.join(small(often), "u").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "u"))).alias("s"))  # one text's units
+    share = 2 * similarity / (1 + similarity)
+    lone = F.col("n") - F.size("s")  # units that no other bag has come first
+    most = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    first = ranked.join(held.select("id", "root", "n"), "id").where(most > lone)
+    first = first.select("id", "root", "n", lone.alias("lone"), F.posexplode(F.slice("s", F.lit(1), (most - lone).cast("int"))).alias("p", "s"))
+    first = put(first.select(F.col("s.u").alias("u"), "id", "root", "n", (F.col("lone") + F.col("p")).alias("p")), "first-units")
+    a, b = (first.select("u", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "n", "p"))) for x in ("a", "b"))
+    # the smaller one of a pair needs fewer of its units
+    a = a.where(F.col("p_a") <= F.col("n_a") - F.ceil(share * F.col("n_a") - 1e-9))
+    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    after = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1
+    need = F.ceil(share / 2 * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    met = a.join(b, "u").where((F.col("root_a") != F.col("root_b")) & order & (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & (after + 1 >= need))
+    met = met.groupBy("id_a", "id_b").agg(F.count("*").alias("c"), F.min(after).alias("after"), F.first(need).alias("need"))
+    return met.where(F.col("c") + F.col("after") >= F.col("need")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def bag_links(held: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of a table of bags(): all pairs of different roots at the similarity or more."""
+    pairs = put(prefix_pairs(held, similarity), "unsettled-pairs")
+    a, b = (held.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("units").alias(f"units_{x}")) for x in ("a", "b"))
+    both = F.size(F.array_intersect("units_a", "units_b"))
+    sized = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.col("n_a") + F.col("n_b")).alias("n"))
+    return put(sized.where(F.col("both") / (F.col("n") - F.col("both")) >= similarity).select("a", "b"), "unsettled-links")
+
+
 def text_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """rows (doc_id, tid) of all documents, and classes (tid, ord, root, rows): tid stands for a text,
     ord is its smallest doc_id (nulls last), rows how many rows have both, root the group."""
@@ -208,29 +268,34 @@ def text_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     one = put(signs.dropDuplicates(["tid"]).select("tid", "n", "sig", "bands"), "class-signatures")
     sig = one.select("tid", "n", "sig")
 
-    def judge(pairs: DataFrame, close: bool) -> DataFrame:
-        # the distance is a metric: two links in a row span twice the distance of one
-        least = max(2 * similarity - 1, 0.0) if close else similarity
+    def read(ids: DataFrame) -> DataFrame:
+        """ids (tid, ...) with the texts, as a table."""
+        placed = put(ids.join(firsts.select("tid", "ord"), "tid"), "near-ids")
+        out = put(texts.withColumn("ord", place).join(small(placed), ["tid", "ord"]).dropDuplicates(["tid"]).select(*ids.columns, "text"), "near-texts")
+        drop(placed)
+        return out
+
+    def judge(pairs: DataFrame) -> DataFrame:
         near = pairs.join(sig.select(F.col("tid").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(sig.select(F.col("tid").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
         agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         # an overlap is no more than the ratio of the sizes
-        near = near.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b", (agree / (BANDS * ROWS)).alias("e"))
-        near = put(near.where(F.col("e") >= least - SLACK), "near-pairs")
-        rest, near = near.where(F.col("e") < similarity - SLACK), near.where(F.col("e") >= similarity - SLACK).select("a", "b")
-        ids = put(near.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(firsts.select("tid", "ord"), "tid"), "near-ids")
-        owned = texts.withColumn("ord", place).join(small(ids), ["tid", "ord"], "left_semi")
-        some = put(owned.select("tid", "text").dropDuplicates(["tid"]), "near-texts")
+        near = near.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b", (agree / (BANDS * ROWS)).alias("e"))
+        near = put(near.where(F.col("e") >= similarity - SLACK).select("a", "b"), "near-pairs")
+        some = read(near.select(F.explode(F.array("a", "b")).alias("tid")).distinct())
         full = near.join(some.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
-        out = overlaps(full, shingle, least)
-        if close:  # those that surely aren't linked are close by their estimate, taken high
-            out = out.union(rest.select("a", "b", F.least(F.col("e") + SLACK, F.lit(similarity - 1e-6)).alias("s")))
-        out = put(out, "overlaps")
-        for table in (near, ids, some):
+        out = put(overlaps(full, shingle, similarity), "overlaps")
+        for table in (near, some):
             drop(table)
         return out
 
+    def rest(ids: DataFrame) -> DataFrame:
+        some = read(ids.withColumnRenamed("id", "tid"))
+        held = put(bags(some.withColumnRenamed("tid", "id"), shingle), "unsettled-bags")
+        drop(some)
+        return bag_links(held, similarity)
+
     entries = star.shared_entries(one.select(F.explode("bands").alias("key"), F.col("tid").alias("id")))
-    groups = star.links(entries, judge, similarity, 1 - similarity)
+    groups = star.links(entries, judge, rest)
     classes = firsts.join(groups.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     return rows, put(classes, "classes")
 

@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from random import Random
 
 import numpy as np
 
@@ -95,3 +96,31 @@ def test_lines(spark):
     assert kept[3] == ""  # alike but for a letter
     assert line_dedup.dedup_lines(docs.where("doc_id < 0")).count() == 0
     assert bagminhash.near_duplicates(docs.where("doc_id < 0")).count() == 0
+
+
+def test_unlike_members_of_a_bucket_are_not_tried_in_pairs(spark, monkeypatch):
+    """Copies of one text that are close to it and not to each other, and some that are linked: the groups of
+    brute force, from few pairs."""
+    draw = Random(11)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(160):
+        words = list(base)
+        for at in draw.sample(range(300), 7):
+            words[at] = f"x{k}at{at}"
+        texts.append(" ".join(words))
+    texts += [f"{t} more" for t in texts[::20]]
+    bags = []
+    for t in texts:
+        w = t.split()
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)))
+    expected = roots(texts, lambda i, j: 1.8 * (bags[i] & bags[j]).total() >= 0.8 * (bags[i].total() + bags[j].total()))
+    tried = []
+    verify, search = bagminhash.overlaps, getattr(bagminhash, "prefix_pairs", None)
+    monkeypatch.setattr(bagminhash, "overlaps", lambda pairs, *rest: [tried.append(pairs.count()), verify(pairs, *rest)][1])
+    if search:
+        monkeypatch.setattr(bagminhash, "prefix_pairs", lambda *given: [found := search(*given), tried.append(found.count())][0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in bagminhash.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(expected))
+    assert sum(tried) < 20 * len(texts), tried  # of 14,028 pairs
