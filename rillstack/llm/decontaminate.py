@@ -81,43 +81,16 @@ def templates(df: DataFrame, key: str) -> DataFrame:
     return _template(df.select(key, words_of(F.col("text")).alias("w")), key).select(key, *(F.col(f"x.{c}").alias(c) for c in ("t", "v", "t2", "v2")))
 
 
-def _codes(df: DataFrame, column: str, size: int, out: str) -> DataFrame:
-    """df with the hashes of all runs of `size` words of an array, in column out: made of the hashes of
-    runs of 1, 2, 4, ... words, each a column of its own."""
-    rest = [c for c in df.columns if c not in (column,)]
-    df = df.select(*rest, column, F.transform(column, lambda x: F.xxhash64(x)).alias("_r0"))
-    runs = ["_r0"]
-    while 2 ** len(runs) <= size:
-        k = len(runs)
-        df = _doubled(df, rest, column, runs, runs[-1], 1 << (k - 1), f"_r{k}")
-        runs.append(f"_r{k}")
-    parts, at = [], 0
-    for k in reversed(range(len(runs))):
-        if size >> k & 1:
-            parts.append((f"_r{k}", at))
-            at += 1 << k
-    starts = F.greatest(F.size(column) - size + 1, F.lit(0))
-
-    def code(x: Column, i: Column) -> Column:
-        return F.xxhash64(x, *(F.get(name, i + at) for name, at in parts[1:]))
-
-    whole = F.slice(parts[0][0], F.lit(1), starts)
-    return df.select(*rest, column, (F.transform(whole, code) if len(parts) > 1 else whole).alias(out))
-
-
-def _doubled(df: DataFrame, rest: list[str], column: str, runs: list[str], last: str, step: int, name: str) -> DataFrame:
-    def two(x: Column, i: Column) -> Column:
-        return F.xxhash64(x, F.get(last, i + step))
-
-    return df.select(*rest, column, *runs, F.transform(last, two).alias(name))
-
-
 def windows(df: DataFrame, key: str, size: int) -> DataFrame:
     """(key, h, at, second) of all windows, and once more of those that the second template makes
     different; df is made by templates(). Rows are narrow: what a window holds is looked up by slots()."""
-    df = _codes(_codes(df, "t", size, "c1"), "t2", size, "c2")
+    df = df.select(key, *(F.transform(t, lambda x: F.xxhash64(x)).alias(r) for t, r in (("t", "r1"), ("t2", "r2"))))
     # outer: else a filter on the array would be inferred, pushed down, and repeat all that makes it
-    flat = df.select(key, F.posexplode_outer(F.arrays_zip("c1", "c2")).alias("at", "x")).select(key, "at", F.col("x.c1").alias("h1"), F.col("x.c2").alias("h2"))
+    starts = F.when(F.size("r1") >= size, F.sequence(F.lit(0), F.size("r1") - size))
+    df = df.select(key, "r1", "r2", F.explode_outer(starts).alias("at"))
+    # of each row of its own, in compiled code: a lambda over the array is not compiled
+    codes = [F.when(F.col("at").isNotNull(), F.xxhash64(*(F.get(r, F.col("at") + i) for i in range(size)))).alias(h) for r, h in (("r1", "h1"), ("r2", "h2"))]
+    flat = df.select(key, "at", *codes)
     one, two = (F.struct(F.lit(x).alias("second"), F.col(h).alias("h")) for x, h in ((False, "h1"), (True, "h2")))
     flat = flat.select(key, "at", F.explode(F.when(F.col("h1") == F.col("h2"), F.array(one)).otherwise(F.array(one, two))).alias("x"))
     return flat.select(key, F.col("x.h").alias("h"), "at", F.col("x.second").alias("second"))
